@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def text_or_empty(column: str) -> Column:
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``column`` holds at most ``limit`` bytes (always one row at least)."""
     array = batch.column(column)
-    sizes = pa.compute.binary_length(array).fill_null(0).to_pylist()
+    sizes = pc.binary_length(array).fill_null(0).to_pylist()
     start, held = 0, 0
     for row, size in enumerate(sizes):
         if row > start and held + size > limit:
