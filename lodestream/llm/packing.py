@@ -11,6 +11,8 @@ than a sequence and is then cut into several pieces; an empty table gives no pie
 
 from __future__ import annotations
 
+import itertools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,20 @@ END_ID = 1
 BROADCAST_TOTALS = 1_000_000
 
 
+#: Stands for the ids of a chunk that is not remembered; no real ids have this length.
+UNKNOWN = b"?"
+
+
+def places(values: list, wanted) -> Iterator[int]:
+    """Indexes at which ``wanted`` stands."""
+    at = -1
+    try:
+        while True:
+            yield (at := values.index(wanted, at + 1))
+    except ValueError:
+        return
+
+
 class ChunkTokenizer:
     """Token ids, as little-endian 32-bit words, of texts whose tokens never span ASCII white space.
 
@@ -38,9 +54,12 @@ class ChunkTokenizer:
     """
 
     def __init__(self, path: str, cache_size: int = 500_000, separator: str = "<|endoftext|>", word_end: str = "</w>"):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same merges for words that are lower-case, composed letters already: nothing to normalise or to tell apart but spaces.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.separator = separator
         self.separator_id = self.tokenizer.token_to_id(separator)
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
@@ -49,16 +68,16 @@ class ChunkTokenizer:
         self.cache: dict[bytes, bytes] = {}
         self.cache_size = cache_size
 
-    def _encode(self, text: str) -> np.ndarray:
-        encoded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+    def _encode(self, text: str, tokenizer=None) -> np.ndarray:
+        encoded = (tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(encoded.ids, dtype="<u4")
 
-    def _apart(self, chunks: list[str], joint: str, is_end: np.ndarray, keep_end: int) -> dict[str, bytes]:
+    def _apart(self, chunks: list[str], joint: str, is_end: np.ndarray, keep_end: int, tokenizer=None) -> dict[str, bytes]:
         """Ids of each chunk, all encoded in one call; a chunk's ids end with the next id that ``is_end`` marks."""
         found: dict[str, bytes] = {}
         for start in range(0, len(chunks), 20_000):
             group = chunks[start : start + 20_000]
-            ids = self._encode(joint.join(group) + ("" if keep_end else joint))
+            ids = self._encode(joint.join(group) + ("" if keep_end else joint), tokenizer)
             ends = np.flatnonzero(is_end[ids])
             if len(ends) != len(group):
                 raise ValueError("the tokenizer did not keep the chunks apart")
@@ -72,7 +91,7 @@ class ChunkTokenizer:
         words, other, cut = set(), [], {}
         for chunk in chunks:
             base = chunk.rstrip(b".,!?;:|")
-            if base.isalpha() or ((text := base.decode()).isalpha() and text.lower().isalpha()):
+            if base == base.lower() and (base.isalpha() or ((text := base.decode()).isalpha() and text.lower().isalpha())):
                 words.add(base)
                 cut[chunk] = base
             elif b"<|" in chunk or b"|>" in chunk or len(chunk) > 10_000:
@@ -81,7 +100,9 @@ class ChunkTokenizer:
                 other.append(chunk.decode())
         ids = {c: b for c in words if (b := self.cache.get(c)) is not None}
         fresh = [c.decode() for c in words if c not in ids]
-        ids.update((c.encode(), b) for c, b in self._apart(fresh, " ", self.ends_word, 1).items())
+        ready = [w.isascii() or (w.lower() == w and unicodedata.is_normalized("NFC", w)) for w in fresh]  # ASCII is lower-case here
+        for tokenizer, group in ((self.plain, [w for w, x in zip(fresh, ready, strict=True) if x]), (self.tokenizer, [w for w, x in zip(fresh, ready, strict=True) if not x])):
+            ids.update((c.encode(), b) for c, b in self._apart(group, " ", self.ends_word, 1, tokenizer).items())
         marks: dict[bytes, bytes] = {b"": b""}
         for chunk, base in cut.items():
             if (mark := chunk[len(base) :]) not in marks:
@@ -94,12 +115,14 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # ASCII case only; special strings keep theirs
-        get = self.cache.get
-        ids = [list(map(get, chunks)) for chunks in split]
-        missing = {c for chunks, known in zip(split, ids, strict=True) if None in known for c, x in zip(chunks, known, strict=True) if x is None}
+        ids = [list(map(self.cache.get, chunks, itertools.repeat(UNKNOWN))) for chunks in split]
+        holes = [list(places(known, UNKNOWN)) for known in ids]
+        missing = {chunks[i] for chunks, own in zip(split, holes, strict=True) for i in own}
         if missing:
             learnt = self._learn(missing)
-            ids = [[learnt[c] if x is None else x for c, x in zip(chunks, known, strict=True)] if None in known else known for chunks, known in zip(split, ids, strict=True)]
+            for chunks, known, own in zip(split, ids, holes, strict=True):
+                for i in own:
+                    known[i] = learnt[chunks[i]]
             if (room := self.cache_size - len(self.cache)) > 0:
                 self.cache.update([(c, b) for c, b in learnt.items() if len(c) <= 48][:room])
         return [b"".join(x) for x in ids]
