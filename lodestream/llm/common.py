@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,3 +48,13 @@ def byte_values(array: pa.Array) -> list[bytes]:
 def text_values(array: pa.Array) -> list[str]:
     """Text of every value, null as empty."""
     return [x or "" for x in array.to_pylist()]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def count_of(text: Column, characters: str) -> Column:
+    """How many characters of the class ``characters`` (as inside square brackets) a text has."""
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", "")).cast("bigint")

@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import WORD_SEPARATORS, text_or_empty
+from .common import WORD_SEPARATORS, count_of, let, text_or_empty
 
 #: Symbols that count as markup debris (fixed by the contract).
-SYMBOLS = "[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -40,18 +40,29 @@ def repeated_words(words: Column) -> Column:
 
     Windows are compared by hash; only texts that hold a repeated window at all go on to mark positions.
     """
-    n = F.size(words)
-    starts = F.sequence(F.lit(0), n - WINDOW)
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
-    distinct = F.array_distinct(hashes)
-    tagged = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(tagged, 1, F.size(tagged) - 1))
-    after = F.concat(F.slice(tagged, 2, F.size(tagged)), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
-    marked = F.zip_with(F.zip_with(tagged, before, lambda t, b: F.struct(t["i"].alias("i"), t["h"].alias("h"), (t["h"].eqNullSafe(b["h"])).alias("same"))), after, lambda t, a: F.when(t["same"] | t["h"].eqNullSafe(a["h"]), t["i"]))
-    places = F.array_sort(F.filter(marked, lambda i: i.isNotNull()))
-    gaps = F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
-    covered = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda acc, g: acc + g)
-    return F.when(n < WINDOW, F.lit(0).cast("bigint")).when(F.size(distinct) == F.size(hashes), F.lit(0).cast("bigint")).otherwise(covered)
+
+    def hashes(own: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(own) - WINDOW), lambda i: F.xxhash64(*[F.get(own, i + k) for k in range(WINDOW)]))
+
+    def covered(found: Column) -> Column:
+        """Sort windows by hash; those equal to a neighbour repeat.  Then walk their places in order."""
+        tagged = F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return let(tagged, lambda t: let(places(t), spread))
+
+    def places(t: Column) -> Column:
+        last = F.size(t) - 1
+        repeats = F.filter(
+            F.transform(t, lambda x, k: F.when((x["h"] == F.get(t, k - 1)["h"]) | ((k < last) & (x["h"] == F.get(t, k + 1)["h"])), x["i"])),
+            lambda i: i.isNotNull(),
+        )
+        return F.array_sort(repeats)
+
+    def spread(p: Column) -> Column:
+        steps = F.zip_with(p, F.slice(p, 2, F.size(p)), lambda x, y: F.least(F.coalesce(y - x, F.lit(WINDOW)), F.lit(WINDOW)))
+        return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
+
+    repeated = let(hashes(words), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))
+    return F.when(F.size(words) > WINDOW, repeated).otherwise(0).cast("bigint")
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -63,12 +74,11 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         *keep,
         F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.regexp_replace("_text", WORD_SEPARATORS, "")).cast("bigint").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS[1:-1], ""))).cast("bigint").alias("n_symbols"),
+        count_of(F.col("_text"), SYMBOLS).alias("n_symbols"),
         duplicate_lines(F.col("_text")).alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
-        (F.length("_text") - F.length(F.translate("_text", ".,!?;:", ""))).cast("bigint").alias("n_marks"),
-        (F.length("_text") - F.length(F.translate("_text", "!", ""))).cast("bigint").alias("n_shouts"),
-        (F.length("_text") - F.length(F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("bigint").alias("n_capitals"),
+        count_of(F.col("_text"), "!").alias("n_shouts"),
+        count_of(F.col("_text"), "A-Z").alias("n_capitals"),
         F.size(F.array_distinct("_words")).cast("bigint").alias("n_distinct"),
     )
 
@@ -97,25 +107,33 @@ class Rule:
 
 #: SQL over the columns of :func:`statistics`.
 RULES = (
-    Rule("length", "n_words BETWEEN 30 AND 100000", "n_words < 5"),
+    Rule("length", "n_words >= 30", "n_words < 5"),
     Rule("word_length", "word_chars BETWEEN 3 * n_words AND 9 * n_words", "word_chars > 14 * n_words OR word_chars < 2 * n_words"),
-    Rule("symbols", "100 * n_symbols <= 2 * n_words", "100 * n_symbols > 20 * n_words"),
-    Rule("lines", "n_dup_lines = 0", "5 * n_dup_lines > 2 + n_words / 10"),
-    Rule("repetition", "100 * n_repeat_words <= 5 * n_words", "100 * n_repeat_words > 20 * n_words"),
-    Rule("capitals", "10 * n_capitals <= 2 * word_chars", "10 * n_capitals > 5 * word_chars"),
-    Rule("shouts", "50 * n_shouts <= n_words", "5 * n_shouts > n_words"),
-    Rule("variety", "n_distinct * 100 >= 30 * n_words OR n_words > 2000", "n_distinct * 100 < 15 * n_words AND n_words < 2000"),
+    Rule("symbols", "false", "n_symbols >= 5 AND 100 * n_symbols > 20 * n_words"),
+    Rule("symbol_share", "false", "n_symbols >= 5 AND 100 * n_symbols > 4 * word_chars"),
+    Rule("lines", "false", "n_dup_lines >= 3 AND 10 * n_dup_lines > n_words"),
+    Rule("repetition", "false", "100 * n_repeat_words > 20 * n_words"),
+    Rule("variety", "false", "100 * n_distinct < 12 * n_words AND n_words BETWEEN 20 AND 2000"),
+    Rule("capitals", "false", "10 * n_capitals > 5 * word_chars"),
+    Rule("shouts", "false", "n_shouts >= 5 AND 5 * n_shouts > n_words"),
 )
+#: Where expectation-maximisation starts: the chance of a good vote and of a bad vote from any rule, on good and on bad documents.
+START_GOOD, START_BAD = (0.8, 0.005), (0.7, 0.4)
+STRENGTH = 0.5
+START_SHARE = 0.85
 
 
 @dataclass(frozen=True)
 class Model:
-    """The share of good documents and, per rule, the log odds of each vote."""
+    """The share of good documents and, per rule, the log odds that a good and that a bad vote lend to being good."""
 
     prior: float
     good_odds: tuple[float, ...]
     bad_odds: tuple[float, ...]
 
+    def odds(self, votes: tuple[int, ...]) -> float:
+        return math.log(self.prior / (1 - self.prior)) + sum(g if v == 1 else b if v == -1 else 0.0 for v, g, b in zip(votes, self.good_odds, self.bad_odds, strict=True))
+
     def posterior(self, votes: list[Column]) -> Column:
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
         for vote, good, bad in zip(votes, self.good_odds, self.bad_odds, strict=True):
@@ -123,40 +141,29 @@ class Model:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS, prior: float = 0.85, accuracy: float = 0.8) -> Model:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS, prior: float = START_SHARE) -> Model:
     """Expectation-maximisation over counted vote patterns.
 
-    Votes are independent given the class.  Rules start out better than chance, which settles which class is the good one; each
-    vote probability is smoothed by one vote either way and a rule's evidence never turns against its own direction.
+    Given a document's class, rules vote independently with unknown chances of a good vote, a bad vote and an abstention.  They start
+    out better than chance, which settles which class is the good one.  An abstention is no evidence, and a vote never
+    counts against its own direction.  The starting chances stay in the estimate with the weight of ``STRENGTH`` of the corpus: without
+    them, documents no rule votes on could belong to either class.
     """
-    m = len(RULES)
-    good_given = [[accuracy, accuracy] for _ in range(m)]  # P(vote good | good), P(vote bad | bad), among votes cast
-    total = sum(n for _, n in patterns)
+    rules, total = range(len(RULES)), sum(n for _, n in patterns)
+    good, bad = [START_GOOD] * len(RULES), [START_BAD] * len(RULES)
+
+    def model() -> Model:
+        return Model(prior, tuple(max(0.0, math.log(g[0] / b[0])) for g, b in zip(good, bad, strict=True)), tuple(min(0.0, math.log(g[1] / b[1])) for g, b in zip(good, bad, strict=True)))
+
     for _ in range(rounds if total else 0):
-        cast = [[1e-9, 1e-9] for _ in range(m)]
-        right = [[0.0, 0.0] for _ in range(m)]
-        good = 0.0
-        for votes, n in patterns:
-            odds = math.log(prior / (1 - prior))
-            for (g, b), v in zip(good_given, votes, strict=True):
-                odds += math.log(g / (1 - b)) if v == 1 else math.log((1 - g) / b) if v == -1 else 0.0
-            p = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
-            good += n * p
-            for k, v in enumerate(votes):
-                if v:
-                    cast[k][0] += n * p
-                    cast[k][1] += n * (1 - p)
-                    right[k][0] += n * p * (v == 1)
-                    right[k][1] += n * (1 - p) * (v == -1)
-        prior = min(0.99, max(0.5, good / total))
-        for k in range(m):
-            g = (right[k][0] + 1) / (cast[k][0] + 2)
-            b = (right[k][1] + 1) / (cast[k][1] + 2)
-            g, b = min(g, 0.999), min(b, 0.999)
-            if g + b <= 1:  # worse than chance: no evidence
-                g = b = 0.5
-            good_given[k] = [g, b]
-    return Model(prior, tuple(math.log(g / (1 - b)) for g, b in good_given), tuple(math.log((1 - g) / b) for g, b in good_given))
+        now = model()
+        share = [(votes, n, 1 / (1 + math.exp(-max(-50.0, min(50.0, now.odds(votes)))))) for votes, n in patterns]
+        all_good = sum(n * p for _, n, p in share)
+        prior = (all_good + STRENGTH * total * START_SHARE) / (total + STRENGTH * total)
+        held = STRENGTH * total
+        good = [tuple((sum(n * p for votes, n, p in share if votes[k] == v) + held * s) / (all_good + held) for v, s in zip((1, -1), START_GOOD, strict=True)) for k in rules]
+        bad = [tuple((sum(n * (1 - p) for votes, n, p in share if votes[k] == v) + held * s) / (total - all_good + held) for v, s in zip((1, -1), START_BAD, strict=True)) for k in rules]
+    return model()
 
 
 def judged(stats: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
