@@ -31,6 +31,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.col("fits")[limit].alias("fitting_chars"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substrings
 
