@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
 from .common import table
 
 
@@ -23,6 +24,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.counted(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import audio
+
+    return audio.features(written(audio.media_column(table(spark, sf_dir, "documents")), "media"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_counts
 
