@@ -57,6 +57,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import dropout
+
+    pieces = dropout.encoded(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), check=True)
+    return pieces.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "lossless")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules
 
