@@ -50,6 +50,12 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.summary(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_knn
+
+    return quality_knn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
