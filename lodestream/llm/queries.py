@@ -87,5 +87,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+#: Where SQL can express a query.  The others depend on a tokenizer, a fingerprint hash, a media format or a fitted model, or on patterns with
+#: look-behind; tests hold those against brute-force versions.
+ORACLES = {
+    "op4_warc": """
+        WITH digested AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), firsts AS (
+            SELECT payload_digest, min(page_id) AS first_page FROM digested WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_page < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first_page < page_id THEN first_page END AS refers_to
+        FROM digested LEFT JOIN firsts USING (payload_digest)
+    """,
+    "op5_substrings": r"""
+        WITH split AS (
+            SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), windows AS (
+            SELECT row_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS digest
+            FROM split, unnest(range(1, len(words) - 33)) AS t(i)
+        ), repeated AS (
+            SELECT digest FROM windows GROUP BY digest HAVING count(*) > 1
+        ), gone AS (
+            SELECT DISTINCT row_id, i + k AS place FROM windows JOIN repeated USING (digest), unnest(range(0, 35)) AS t(k)
+        ), each_word AS (
+            SELECT row_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM split
+        ), kept AS (
+            SELECT row_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n
+            FROM each_word ANTI JOIN gone USING (row_id, place) GROUP BY row_id
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM split LEFT JOIN kept USING (row_id)
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
