@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows per Arrow batch while scratch tables are written.
+BATCH_ROWS = 1000
+
 
 def get_spark(app: str = "lodestream", cores: int | None = None, shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the library is tested under; on a cluster pass your own session instead."""
@@ -54,5 +59,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Unlike a cache this survives the loss of executors, and later stages see file sizes and statistics.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within it, at most ``rows`` rows go to Python at once: rows may be long texts, and a batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
