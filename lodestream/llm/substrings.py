@@ -1,16 +1,18 @@
 """Removal of word passages that occur more than once in the corpus, by level-wise doubling.
 
-A passage of ``WINDOW`` words can only repeat if every shorter window inside it repeats.  The levels have windows of 8, 16 and 32 words and, last,
-of ``WINDOW`` words.  At each level the still-alive passages are represented by windows of that length, windows that occur once in
-the corpus take their passages out, and what is left goes on to twice the length, until the last level or until no candidates survive.
+A passage of ``WINDOW`` words can only repeat if every shorter window inside it repeats.  The levels have windows of 9, 18 and 35 words, each length
+covered by two windows of the one before.  At each level the passages still alive are represented by windows of that length, windows that
+occur once in the corpus take their passages out, and what is left goes on to twice the length, until the last level or until no
+candidates survive.
 
 Not every short window has to be counted.  Each passage is represented by the one of its windows with the smallest hash (the leftmost of
 equals): equal passages choose equal windows, so a repeated passage keeps a repeated representative, and neighbouring passages mostly
 share theirs.  The first level then counts about one window in fourteen.  At the last level a passage represents itself, so
 what survives is exact up to collisions of 64-bit hashes.
 
-Only hashes, places and the texts of documents with candidates move: hashes are counted by partial aggregation, places return to
-their text by its 128-bit digest, and a text is handled alike wherever it occurs.
+Only hashes and the texts of documents with candidates move.  Hashes are counted by partial aggregation, which also keeps a frequent one from
+gathering in a task; a hash that is counted once names the one text it comes from by that text's 128-bit key.  A text is handled alike
+wherever it occurs.
 
 Defined results: null and empty texts have no words and nothing to remove; texts shorter than the window lose nothing; a repeated
 row is a repeated text; windows are judged on the input, not on what is left; an empty table gives no rows.
@@ -24,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -36,12 +38,11 @@ SEED = 0x5D
 
 
 def levels(window: int = WINDOW, first: int = FIRST) -> list[int]:
-    """Window lengths from ``first`` on, doubled while they are shorter than the passage, and the passage length."""
-    out, length = [], min(first, window)
-    while length < window:
-        out.append(length)
-        length *= 2
-    return [*out, window]
+    """Window lengths that end with ``window``, each covered by two windows of the length before it, none under ``first``."""
+    out = [window]
+    while (half := -(-out[0] // 2)) >= first:
+        out.insert(0, half)
+    return out
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -114,15 +115,12 @@ def _candidates(words: np.ndarray, alive: np.ndarray | None, length: int, window
     return found, representatives(found, passages), np.ones(passages, bool) if alive is None else alive
 
 
-def _describe(texts: list[bytes], length: int, window: int, runs: list[bytes | None]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Of each text its words and the distinct hashes of the representatives of its alive passages."""
-    for text, own in zip(texts, runs, strict=True):
-        words = text.split()
-        if len(words) < window:
-            yield words, np.zeros(0, np.uint64)
-            continue
-        found, chosen, alive = _candidates(word_hashes(words), None if own is None else _flags(own, len(words) - window + 1), length, window)
-        yield words, found[np.unique(chosen[alive])]
+def _opening(words: list[bytes], length: int, window: int) -> np.ndarray:
+    """The hashes, one for each place, of the representatives of all passages of a text."""
+    if len(words) < window:
+        return np.zeros(0, np.uint64)
+    found, chosen, _ = _candidates(word_hashes(words), None, length, window)
+    return found[np.unique(chosen)]
 
 
 def _joined_digest(words: list[bytes]) -> str:
@@ -138,87 +136,95 @@ def removed_words(words: int, alive: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(marks[:-1]) > 0
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """``key, hash`` of ``rows`` (columns ``key, hashes``) whose hash occurs at two places or more, gathered again by key.
+KEY = ["k1", "k2"]
+
 
-    A hash that one text has twice comes twice in its ``hashes``.
+def _lone(rows: DataFrame) -> DataFrame:
+    """``k1, k2, lone``: of each text the hashes that occur at one place only.  ``rows`` has the key and ``hashes``.
+
+    A hash that one text has twice comes twice in its ``hashes``.  Where the count is one, the least key is the only one.
     """
-    places = written(rows.select("key", F.explode("hashes").alias("hash")), "windows")
-    often = places.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    return places.join(often, "hash").groupBy("key").agg(F.collect_set("hash").alias("repeated"))
+    counted = rows.select(*KEY, F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"), *[F.min(k).alias(k) for k in KEY])
+    return counted.filter("n = 1").groupBy(*KEY).agg(F.collect_list("hash").alias("lone"))
+
+
+def key_of(text: Column) -> list[Column]:
+    """Two independent 64-bit hashes of a text: the second is seeded by a hash of 1."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
 def passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: ``doc_id, key, n_words, whole_sha256`` for every row, and ``key, text, runs`` of the texts with repeated passages.
+    """Two written tables: ``doc_id, k1, k2, n_words, whole_sha256`` for every row, and ``k1, k2, text, runs`` of the texts with repeated passages.
 
-    ``key`` is the digest of a text; ``runs`` holds starts and ends of the runs of repeated passages' first words.
+    ``k1, k2`` are two hashes of a text, its key; ``runs`` holds starts and ends of the runs of repeated passages' first words.
     """
     ladder = levels(window, first)
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("key", F.unhex(F.md5("text")))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).select("*", *key_of(F.col("text")))
 
     def open_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text"):
-                texts = byte_values(rows.column("text"))
-                found = list(_describe(texts, ladder[0], window, [None] * len(texts)))
+                sizes, digests, hashes = [], [], []
+                for text in byte_values(rows.column("text")):  # one text's words at a time
+                    words = text.split()
+                    sizes.append(len(words))
+                    digests.append(_joined_digest(words))
+                    hashes.append(_opening(words, ladder[0], window).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("doc_id"),
-                        rows.column("key"),
-                        pa.array([len(w) for w, _ in found], pa.int64()),
-                        pa.array([_joined_digest(w) for w, _ in found], pa.string()),
-                        pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "key", "n_words", "whole_sha256", "hashes"],
+                    [rows.column("doc_id"), rows.column("k1"), rows.column("k2"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(hashes, pa.list_(pa.int64()))],
+                    names=["doc_id", *KEY, "n_words", "whole_sha256", "hashes"],
                 )
 
-    opened = written(keyed.mapInArrow(open_level, "doc_id long, key binary, n_words long, whole_sha256 string, hashes array<long>"), "texts")
+    opened = written(keyed.mapInArrow(open_level, "doc_id long, k1 long, k2 long, n_words long, whole_sha256 string, hashes array<long>"), "texts")
     summary = opened.drop("hashes")
 
     def close_level(length: int, then: int | None):
-        """Drop the passages whose representative at ``length`` is not repeated; list the representatives for the next level."""
+        """Drop the passages whose representative at ``length`` occurs once; list the representatives for the next level."""
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for rows in slices(batch, "text"):
                     out: list[tuple] = []
-                    values = [rows.column(c).to_pylist() for c in ("key", "runs")]
-                    repeated = rows.column("repeated")
-                    for k, (key, runs, text) in enumerate(zip(*values, byte_values(rows.column("text")), strict=True)):
-                        words = word_hashes(text.split())
-                        found, chosen, alive = _candidates(words, None if runs is None else _flags(runs, len(words) - window + 1), length, window)
-                        wanted = np.sort(repeated[k].values.to_numpy().view(np.uint64))
-                        mine = found[chosen]
-                        at = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
-                        alive = alive & (wanted[at] == mine)
+                    lone = rows.column("lone")
+                    for k, (k1, k2, runs, text) in enumerate(zip(*(rows.column(c).to_pylist() for c in (*KEY, "runs")), byte_values(rows.column("text")), strict=True)):
+                        words = text.split()
+                        if len(words) < window:
+                            continue
+                        hashes = word_hashes(words)
+                        found, chosen, alive = _candidates(hashes, None if runs is None else _flags(runs, len(words) - window + 1), length, window)
+                        if lone[k].is_valid:
+                            single = np.sort(lone[k].values.to_numpy().view(np.uint64))
+                            mine = found[chosen]
+                            at = np.minimum(np.searchsorted(single, mine), len(single) - 1)
+                            alive = alive & (single[at] != mine)
                         if not alive.any():
                             continue
-                        hashes = None
+                        following = None
                         if then is not None:
-                            found, chosen, alive = _candidates(words, alive, then, window)
-                            hashes = found[np.unique(chosen[alive])].view(np.int64)
-                        out.append((key, text, _runs(alive), hashes))
+                            found, chosen, _ = _candidates(hashes, alive, then, window)
+                            following = found[np.unique(chosen[alive])].view(np.int64)
+                        out.append((k1, k2, text, _runs(alive), following))
                     if out:
-                        key, text, runs, hashes = zip(*out, strict=True)
+                        k1, k2, text, runs, following = zip(*out, strict=True)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(key, pa.binary()), pa.array([t.decode() for t in text], pa.string()), pa.array(runs, pa.binary()), pa.array(list(hashes), pa.list_(pa.int64()))],
-                            names=["key", "text", "runs", "hashes"],
+                            [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([t.decode() for t in text], pa.string()), pa.array(runs, pa.binary()), pa.array(list(following), pa.list_(pa.int64()))],
+                            names=[*KEY, "text", "runs", "hashes"],
                         )
 
         return step
 
-    rows, texts = opened.select("key", "hashes"), keyed.select("key", "text", F.lit(None).cast("binary").alias("runs"))
+    rows, texts = opened.select(*KEY, "hashes"), keyed.select(*KEY, "text", F.lit(None).cast("binary").alias("runs"))
     for length, then in zip(ladder, [*ladder[1:], None], strict=True):
-        alive = texts.join(_repeated(rows), "key")
-        state = written(alive.select("key", "text", "runs", "repeated").mapInArrow(close_level(length, then), "key binary, text string, runs binary, hashes array<long>"), f"level-{length}")
-        rows, texts = state.select("key", "hashes"), state.select("key", "text", "runs")
+        judged = texts.join(_lone(rows), KEY, "left").select(*KEY, "text", "runs", "lone")
+        state = written(judged.mapInArrow(close_level(length, then), "k1 long, k2 long, text string, runs binary, hashes array<long>"), f"level-{length}")
+        rows, texts = state.select(*KEY, "hashes"), state.select(*KEY, "text", "runs")
         if state.isEmpty():
             break
     return summary, texts
 
 
 def _cut(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """Per text with repeated passages: ``key, n_removed, kept_sha256`` and, on request, ``kept``, its words joined by one space."""
+    """Per text with repeated passages: ``k1, k2, n_removed, kept_sha256`` and, on request, ``kept``, its words joined by one space."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,20 +235,20 @@ def _cut(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
                     gone = removed_words(len(words), _flags(runs, len(words) - window + 1), window)
                     removed.append(int(gone.sum()))
                     kept.append(b" ".join([words[i] for i in np.flatnonzero(~gone)]))
-                columns = [rows.column("key"), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+                columns = [rows.column("k1"), rows.column("k2"), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
                 if with_text:
                     columns.append(pa.array([k.decode() for k in kept], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "n_removed", "kept_sha256", "kept"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "n_removed", "kept_sha256", "kept"][: len(columns)])
 
-    schema = "key binary, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return texts.select("key", "text", "runs").mapInArrow(cut, schema)
+    schema = "k1 long, k2 long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    return texts.select(*KEY, "text", "runs").mapInArrow(cut, schema)
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for every row."""
     rows, texts = passages(docs, text_col, id_col, window)
-    cut = written(_cut(texts, window, False).dropDuplicates(["key"]), "cut")
-    return rows.join(cut, "key", "left").select(
+    cut = written(_cut(texts, window, False).dropDuplicates(KEY), "cut")
+    return rows.join(cut, KEY, "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256")
     )
 
@@ -253,6 +259,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     A text that loses words becomes its kept words joined by one space; any other text stays as it is.
     """
     _, texts = passages(docs, text_col, id_col, window)
-    cut = written(_cut(texts, window, True).dropDuplicates(["key"]), "cut").select(F.col("key").alias("_key"), F.col("kept").alias("_kept"))
-    keyed = docs.withColumn("_key", F.unhex(F.md5(text_or_empty(text_col))))
-    return keyed.join(cut, "_key", "left").withColumn(text_col, F.coalesce("_kept", F.col(text_col))).select(*docs.columns)
+    names = ["_k1", "_k2", "_kept"]
+    while set(names) & set(docs.columns):
+        names = [n + "_" for n in names]
+    cut = written(_cut(texts, window, True).dropDuplicates(KEY), "cut").select(*[F.col(c).alias(n) for c, n in zip([*KEY, "kept"], names, strict=True)])
+    keyed = docs.withColumns(dict(zip(names, key_of(text_or_empty(text_col)), strict=False)))
+    return keyed.join(cut, names[:2], "left").withColumn(text_col, F.coalesce(names[2], text_col)).select(*docs.columns)
