@@ -16,6 +16,7 @@ the page is; an empty table writes no records; ids need not be unique or dense.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -34,6 +35,7 @@ RECORDS = 400
 CRLF = "\r\n"
 RECORD_END = CRLF + CRLF
 VERSION = "WARC/1.1"
+GZIP = b"\x1f\x8b"
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -107,13 +109,15 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> None:
-    """Write one archive file per task and ``RECORDS`` records into the folder ``path``."""
+    """Write one archive file per task and ``RECORDS`` records into the folder ``path``, gzipped."""
     found = records(roles(pages, id_col, payload_col, url_col))
-    found.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS).option("compression", "none").text(path)
+    found.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of every record of an archive."""
+    """Headers (names in lower case) and block of every record of an archive, which may be gzipped."""
+    if archive[:2] == GZIP:
+        archive = gzip.decompress(archive)
     at = 0
     while at < len(archive):
         end = archive.index(RECORD_END.encode(), at)
@@ -154,44 +158,77 @@ def payload_of(block: bytes) -> tuple[bytes, int]:
     return body, int(fields.get("content-length", len(body)))
 
 
-def parsed(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives under ``path``: type, page, digest, reference, segment fields and block."""
+def _fields(header: dict[str, str]) -> tuple[str, int, str, int | None]:
+    """Type, page, stated digest and reference of a record."""
+    reference = header.get("warc-refers-to")
+    return header["warc-type"], int(header["warc-page-id"]), header["warc-payload-digest"].removeprefix("sha256:"), int(reference[len("<urn:page:") : -1]) if reference else None
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_type", pa.string()), ("page_id", pa.int64()), ("digest", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
+
+def _decoded(kind: str, page: int, stated: str, refers_to: int | None, block: bytes) -> tuple:
+    """A result row of a whole block; a response must match the digest that it states."""
+    body, size = payload_of(block)
+    if kind == "response" and hashlib.sha256(body).hexdigest() != stated:
+        raise ValueError(f"the payload of page {page} does not match its digest")
+    return page, size, stated, kind, refers_to, body if kind == "response" else None
+
+
+_PAYLOAD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+_SEGMENT = pa.schema(
+    [("record_type", pa.string()), ("page_id", pa.int64()), ("digest", pa.string()), ("refers_to", pa.int64()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]
+)
+
+
+def _sql(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about 4 MB; the last field is what takes the room."""
+    out: list[tuple] = []
+    held = 0
+    for row in rows:
+        out.append(row)
+        held += 200 + len(row[-1] or b"")
+        if held > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+def _scan(spark: SparkSession, path: str, pick, schema: pa.Schema) -> DataFrame:
+    """``pick(header, block)`` gives a row, or None, for each record of the archives under ``path``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for archive in batch.column("content"):
-                out, held = [], 0
                 for header, block in parse(archive.as_py()):
-                    number = int(header.get("warc-segment-number", 0))
-                    out.append(
-                        (
-                            header["warc-type"],
-                            int(header["warc-page-id"]),
-                            header["warc-payload-digest"].removeprefix("sha256:"),
-                            int(header["warc-refers-to"][len("<urn:page:") : -1]) if "warc-refers-to" in header else None,
-                            header["warc-record-id"],
-                            header.get("warc-segment-origin-id", header["warc-record-id"]) if number else None,
-                            number,
-                            int(header["warc-segment-total-length"]) if "warc-segment-total-length" in header else None,
-                            block,
-                        )
-                    )
-                    held += len(block)
-                    if held > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                        out, held = [], 0
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    if (row := pick(header, block)) is not None:
+                        yield row
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").load(path).select("content")
-    return files.mapInArrow(scan, "record_type string, page_id long, digest string, refers_to long, record_id string, origin string, number int, total long, block binary")
+    return files.mapInArrow(lambda batches: _batches(rows(batches), schema), _sql(schema))
+
+
+def segments(spark: SparkSession, path: str) -> DataFrame:
+    """The records of blocks that were split: type, page, digest, reference, origin, number, total length (of the last) and piece."""
 
+    def pick(header: dict[str, str], block: bytes) -> tuple | None:
+        if "warc-segment-number" not in header:
+            return None
+        total = header.get("warc-segment-total-length")
+        return (*_fields(header), header.get("warc-segment-origin-id", header["warc-record-id"]), int(header["warc-segment-number"]), int(total) if total else None, block)
 
-def reassembled(found: DataFrame) -> DataFrame:
-    """Whole blocks: ``record_type, page_id, digest, refers_to, block``; missing, repeated or short segments raise."""
-    whole = found.filter("number = 0").select("record_type", "page_id", "digest", "refers_to", "block")
-    parts = found.filter("number > 0").groupBy("origin").agg(
+    return _scan(spark, path, pick, _SEGMENT)
+
+
+def reassembled(pieces: DataFrame) -> DataFrame:
+    """Whole blocks of :func:`segments`: ``record_type, page_id, digest, refers_to, block``; missing, repeated or short segments raise.
+
+    A group holds the segments of one block, so it is as large as one page.
+    """
+    parts = pieces.groupBy("origin").agg(
         F.max("page_id").alias("page_id"),
         F.max("digest").alias("digest"),
         F.max("refers_to").alias("refers_to"),
@@ -204,37 +241,33 @@ def reassembled(found: DataFrame) -> DataFrame:
     joint = parts.select("record_type", "page_id", "digest", "refers_to", joined.alias("block"), "total", in_order.alias("in_order"))
     sound = F.coalesce((F.octet_length("block") == F.col("total")) & F.col("in_order") & F.col("record_type").isNotNull(), F.lit(False))
     checked = F.when(sound, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments do not add up for page "), F.col("page_id").cast("string"))).cast("binary"))
-    return whole.unionByName(joint.select("record_type", "page_id", "digest", "refers_to", checked.alias("block")))
+    return joint.select("record_type", "page_id", "digest", "refers_to", checked.alias("block"))
 
 
-def payloads(blocks: DataFrame, with_payload: bool = False) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` and, on request, ``payload`` (null for revisits)."""
+def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
+    """Read archives back: ``page_id, payload_bytes, payload_digest, record_type, refers_to`` and, on request, ``payload`` (null for revisits).
+
+    Unsplit blocks are decoded where they are parsed; split ones are reassembled first.
+    """
+    schema = _PAYLOAD if with_payload else pa.schema(list(_PAYLOAD)[:-1])
+
+    def pick(header: dict[str, str], block: bytes) -> tuple | None:
+        return None if "warc-segment-number" in header else shown(_decoded(*_fields(header), block))
+
+    def shown(row: tuple) -> tuple:
+        return row if with_payload else (*row[:-1], b"")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds, stated = batch.column("record_type").to_pylist(), batch.column("digest").to_pylist()
-            sizes, digests, bodies = [], [], []
-            for kind, digest, block in zip(kinds, stated, batch.column("block"), strict=True):
-                body, size = payload_of(block.as_py())
-                if kind == "response":
-                    own = hashlib.sha256(body).hexdigest()
-                    if own != digest:
-                        raise ValueError("a payload does not match its digest")
-                sizes.append(size)
-                digests.append(digest)
-                if with_payload:
-                    bodies.append(body if kind == "response" else None)
-            columns = [batch.column("page_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), batch.column("record_type"), batch.column("refers_to")]
-            if with_payload:
-                columns.append(pa.array(bodies, pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: len(columns)])
-
-    return blocks.mapInArrow(decode, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for *fields, block in zip(*(batch.column(c).to_pylist() for c in ("record_type", "page_id", "digest", "refers_to")), batch.column("block"), strict=True):
+                    yield shown(_decoded(*fields, block.as_py()))
 
+        for out in _batches(rows(), _PAYLOAD):
+            yield out.select(schema.names)
 
-def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """Read archives back, segments reassembled and framing decoded."""
-    return payloads(reassembled(parsed(spark, path)), with_payload)
+    whole = _scan(spark, path, pick, _PAYLOAD).select(*schema.names)
+    return whole.unionByName(reassembled(segments(spark, path)).mapInArrow(decode, _sql(schema)))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
