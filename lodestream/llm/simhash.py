@@ -248,8 +248,10 @@ def hexadecimal(fp: Column) -> Column:
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, one row per id, columns unchanged."""
-    found = written(near_duplicates(docs, id_col, text_col), "components")
-    chosen = found.select(F.col("component_id").alias(id_col)).distinct()
-    rows = docs.join(chosen, id_col, "left_semi")
-    unique = found.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return (rows if unique else rows.dropDuplicates([id_col])).select(*docs.columns)
+    found = near_duplicates(docs, id_col, text_col)
+    by_id = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("component_id") == F.col("doc_id")).alias("stays"))
+    # what goes is far less than what stays; its size is known once it is written, and the planner broadcasts it or not
+    odd = written(by_id.filter("n > 1 or not stays"), "odd-ids")
+    rows = docs.join(odd.filter("not stays").select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
+    repeated = not odd.filter("n > 1 and stays").isEmpty()
+    return (rows.dropDuplicates([id_col]) if repeated else rows).select(*docs.columns)
