@@ -166,22 +166,30 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS, prior
     return model()
 
 
-def judged(stats: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Fit on all rows of ``stats`` (a written table: it is read twice) and add ``base_failed, quality, kept``."""
-    votes = [r.vote() for r in RULES]
-    counted = stats.groupBy(*[v.alias(r.name) for r, v in zip(RULES, votes, strict=True)]).count().collect()  # at most 3 ** len(RULES)
-    model = fit(sorted((tuple(row)[:-1], row["count"]) for row in counted))
-    quality = F.when(F.col("n_words") > 0, model.posterior(votes)).otherwise(0.0)
+def fitted(stats: DataFrame) -> Model:
+    """The model of all rows of ``stats``: their vote patterns are counted, at most ``3 ** len(RULES)`` of them."""
+    counted = stats.groupBy(*[r.vote().alias(r.name) for r in RULES]).count().collect()
+    return fit(sorted((tuple(row)[:-1], row["count"]) for row in counted))
+
+
+def judged(stats: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Adds ``base_failed, quality, kept``."""
+    quality = F.when(F.col("n_words") > 0, model.posterior([r.vote() for r in RULES])).otherwise(0.0)
     return stats.select("*", base_failed().alias("base_failed"), quality.alias("quality")).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Statistics, ``base_failed``, the posterior ``quality`` and ``kept`` for every document."""
-    return judged(written(statistics(docs, id_col, text_col), "statistics"))
+    stats = written(statistics(docs, id_col, text_col), "statistics")
+    return judged(stats, fitted(stats))
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns unchanged; each row travels with its statistics, so there is no join."""
+    """The rows of ``docs`` that pass, with their columns unchanged.
+
+    Each row is written with its statistics, so there is no join.  The written table also keeps the optimizer from moving the
+    filter below the statistics, where it would compute them anew for every rule.
+    """
     packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_body"))
     stats = written(statistics(packed, "_id", "_body", keep=("_row",)), "statistics")
-    return judged(stats).filter("kept").select("_row.*")
+    return judged(stats, fitted(stats)).filter("kept").select("_row.*")
