@@ -88,7 +88,7 @@ def _headed(header: str):
         first = True
         for batch in batches:
             if batch.num_rows and first:
-                yield pa.RecordBatch.from_arrays([pa.array([header])], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([header], batch.schema.field(0).type)], schema=batch.schema)
                 first = False
             yield batch
 

@@ -124,4 +124,4 @@ def scan(spark: SparkSession, listing: Listing, partition_bytes: int = 32 << 20)
 
     read = files.mapInArrow(load, "repo string, path string, language string, size_bytes long, mtime timestamp, bytes binary")
     text = F.when(~is_binary(F.col("bytes")), as_text(F.col("bytes")))
-    return read.select("repo", "path", "language", "size_bytes", "mtime", F.sha2("bytes", 256).alias("sha256"), F.when(F.trim(text) != "", text).alias("content"))
+    return read.select("repo", "path", "language", "size_bytes", "mtime", F.sha2("bytes", 256).alias("sha256"), F.when(text.rlike(r"[^\x00-\x20]"), text).alias("content"))
