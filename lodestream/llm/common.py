@@ -39,6 +39,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def places(values: list, wanted) -> Iterator[int]:
+    """Indexes at which ``wanted`` stands."""
+    at = -1
+    try:
+        while True:
+            yield (at := values.index(wanted, at + 1))
+    except ValueError:
+        return
+
+
 def byte_values(array: pa.Array) -> list[bytes]:
     """UTF-8 bytes of every value, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type) else pa.binary()

@@ -4,7 +4,8 @@ Merges are taken from an agenda, best-scored pair first and leftmost of equals,
 skipped when a keyed hash of its place and piece falls under the dropout rate.  Seeds give varied segmentations of the same text, all of
 them sequences of vocabulary pieces, and the same seed gives the same one anywhere.  A rate of zero gives the plain encoding.
 
-A word occurrence draws one of ``VARIANTS`` keys by a hash of the seed, the text and its place, so frequent words are segmented once per key.
+Every run of ``RUN`` words draws one of ``VARIANTS`` keys by a hash of the seed, the text and its place, so frequent words are segmented once
+per key.
 The agendas of many words are processed at once: a matrix holds each word's candidates by rank and each step pops the best of every word.
 
 The piece mark, where it stands in a text itself, is written as its bytes, so it is not mistaken for a space: decoding returns every text
@@ -14,6 +15,7 @@ exactly.  Defined results: null and empty texts have no pieces; characters outsi
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_values
+from .common import places, slices, text_values
 from .pieces import MARK, Pieces, load, segments
 
 RATE = 0.1
 VARIANTS = 4
+RUN = 32
 #: Longest segment, in characters, that goes through the matrix; longer ones have an agenda of their own.
 WIDE = 24
 #: Independent cuts inside a segment; no piece of the vocabulary goes across (checked when it is loaded).
@@ -199,8 +202,9 @@ class DropoutEncoder:
                 out += [head[1:], *rest] if len(head) > 1 else rest
         return [w for k, w in enumerate(out) if w or k]
 
-    def _draw(self, text: str, n: int) -> np.ndarray:
-        """Which key each word occurrence takes."""
+    def _draw(self, text: str, words: int) -> np.ndarray:
+        """Which key each run of words takes."""
+        n = -(-words // RUN)
         start = np.uint64(zlib.crc32(text.encode()) | (self.seed & 0xFFFFFFFF) << 32)
         return (_keyed(np.full(n, start), np.arange(n), np.zeros(n, np.int64)) % np.uint64(self.variants)).astype(np.int64)
 
@@ -210,23 +214,24 @@ class DropoutEncoder:
         split = [self._words(t) for t in texts]
         drawn = [self._draw(t, len(w)).tolist() for t, w in zip(texts, split, strict=True)]
         caches = self.caches
-        found = [[caches[v].get(w, UNKNOWN) for v, w in zip(own, words, strict=True)] for own, words in zip(drawn, split, strict=True)]
+        gets = [c.get for c in caches]
+        found: list[list[bytes]] = []
         holes: dict[tuple[str, int], bytes] = {}
         spots: list[list[int]] = []
-        for words, own, got in zip(split, drawn, found, strict=True):
-            at, here = -1, []
-            try:
-                while True:
-                    at = got.index(UNKNOWN, at + 1)
-                    here.append(at)
-                    holes[words[at], own[at]] = b""
-            except ValueError:
-                spots.append(here)
+        for words, own in zip(split, drawn, strict=True):
+            got: list[bytes] = []
+            for k, v in enumerate(own):
+                got += map(gets[v], words[k * RUN : (k + 1) * RUN], itertools.repeat(UNKNOWN))
+            here = list(places(got, UNKNOWN))
+            for at in here:
+                holes[words[at], own[at // RUN]] = b""
+            found.append(got)
+            spots.append(here)
         if holes:
             self._fill(holes, mark_bytes)
             for words, own, got, here in zip(split, drawn, found, spots, strict=True):
                 for i in here:
-                    got[i] = holes[words[i], own[i]]
+                    got[i] = holes[words[i], own[i // RUN]]
             for (word, v), ids in holes.items():
                 if len(caches[v]) < self.cache_size and len(word) <= 24:
                     caches[v][word] = ids
@@ -286,12 +291,12 @@ def encoder(path: str, rate: float, seed: int, variants: int = VARIANTS) -> Drop
     return _encoders[key]
 
 
-def encoded(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids``: the pieces of each text as little-endian 32-bit ids; with ``check`` also ``lossless``.
+def encoded(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, check: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_crc32``: the number of pieces of each text and the hash of their ids as little-endian 32-bit integers.
 
-    ``lossless`` says whether decoding the ids gives the text again.
+    With ``with_ids`` also ``ids``, those integers; with ``check`` also ``lossless``, whether decoding them gives the text again.
     """
-    names = ["doc_id", "n_tokens", "ids", "lossless"][: 3 + check]
+    names = ["doc_id", "n_tokens", "ids_crc32", *["ids"] * with_ids, *["lossless"] * check]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model_path, rate, seed)
@@ -299,13 +304,15 @@ def encoded(docs: DataFrame, model_path: str, rate: float = RATE, seed: int = 1,
             for rows in slices(batch, "text"):
                 texts = text_values(rows.column("text"))
                 ids = own.encode(texts)
-                columns = [rows.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                columns = [rows.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(list(map(zlib.crc32, ids)), pa.int64())]
+                if with_ids:
+                    columns.append(pa.array(ids, pa.binary()))
                 if check:
                     columns.append(pa.array([own.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     selected = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return selected.mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", lossless boolean" * check)
+    return selected.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids + ", lossless boolean" * check)
 
 
 def decoded(sequences: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:

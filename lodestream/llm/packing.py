@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import byte_values, slices
+from .common import byte_values, places, slices
 
 LENGTH = 2048
 END_ID = 1
@@ -34,16 +34,6 @@ BROADCAST_TOTALS = 1_000_000
 UNKNOWN = b"?"
 
 
-def places(values: list, wanted) -> Iterator[int]:
-    """Indexes at which ``wanted`` stands."""
-    at = -1
-    try:
-        while True:
-            yield (at := values.index(wanted, at + 1))
-    except ValueError:
-        return
-
-
 class ChunkTokenizer:
     """Token ids, as little-endian 32-bit words, of texts whose tokens never span ASCII white space.
 

@@ -66,8 +66,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import dropout
 
-    pieces = dropout.encoded(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), check=True)
-    return pieces.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "lossless")
+    return dropout.encoded(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False, check=True)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
