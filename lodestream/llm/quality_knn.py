@@ -165,8 +165,10 @@ def sample_of(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
     terms = texts.mapInArrow(count, "doc_id long, label int, at binary, weights binary")
-    rows = sorted(terms.collect(), key=lambda r: (r["doc_id"], r["at"], r["weights"]))
-    return [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["weights"], "<f2").astype(np.float32), r["label"]) for r in rows[:limit]]
+    # one row for each id, however often it is repeated
+    rows = terms.groupBy("doc_id").agg(F.min(F.struct("at", "weights", "label")).alias("t")).select("doc_id", "t.*").collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    return [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["weights"], "<f2").astype(np.float32), r["label"]) for r in rows]
 
 
 def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
