@@ -112,3 +112,56 @@ def row_json(*columns: str) -> Column:
 
 def has_key(text, key: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(_c(text)), key), F.lit(False))
+
+
+# --- objects and arrays
+
+
+def members(text) -> Column:
+    """An object as a map of its members."""
+    return F.from_json(_c(text), "map<string,variant>")
+
+
+def keys(text) -> Column:
+    return F.json_object_keys(_c(text))
+
+
+def size(text) -> Column:
+    """How many members or elements."""
+    return F.coalesce(F.json_array_length(_c(text)), F.size(F.json_object_keys(_c(text))).try_cast("int"))
+
+
+def put(text, key: str, value) -> Column:
+    """The object with a member set; ``value`` is JSON text, and null takes the member away."""
+    rest = F.map_filter(members(text), lambda k, v: k != key)
+    return F.to_json(F.when(_c(value).isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit(key), F.parse_json(F.coalesce(_c(value), F.lit("null")))))))
+
+
+def put_once(text, key: str, value) -> Column:
+    """As :func:`put`, but an error where the object has the member."""
+    return F.when(has_key(text, key), F.raise_error(f"duplicate key {key}").cast("string")).otherwise(put(text, key, value))
+
+
+def remove(text, key: str) -> Column:
+    return F.to_json(F.map_filter(members(text), lambda k, v: k != key))
+
+
+def subset(text, names: list[str]) -> Column:
+    return F.to_json(F.map_filter(members(text), lambda k, v: k.isin(names)))
+
+
+def zipped(values, names: list[str]) -> Column:
+    """Elements of an array under names; the rest of either is left out."""
+    arr = _c(values)
+    n = F.least(F.size(arr), F.lit(len(names)))
+    return F.to_json(F.map_from_arrays(F.slice(F.array(*[F.lit(x) for x in names]), F.lit(1), n), F.slice(arr, F.lit(1), n)))
+
+
+def pretty(text) -> Column:
+    return F.to_json(members(text), {"pretty": "true"})
+
+
+def number_text(n) -> Column:
+    """A number without a fraction that is zero, and without zeros at its end."""
+    text = _c(n).cast("string")
+    return F.when(text.rlike(r"^-?[0-9]+\.[0-9]+$"), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)

@@ -129,3 +129,11 @@ def format_picture(n, mask: str = "", width: int = 0, places: int = -1, base: in
         return pd.Series([None if pd.isna(v) else picture(float(v), mask, width, places, base) for v in values], dtype=object)
 
     return run(_c(n).cast("double"))
+
+
+def picture_for_proportional_type(number: float | None, mask: str = "", width: int = 0, places: int = -1) -> str | None:
+    """A picture for type in which spaces are half as wide as digits: spaces doubled, and one more for each comma in front."""
+    text = picture(number, mask, width, places)
+    if text is None or "L" in mask or width <= 0:
+        return text
+    return " " * text.count(",") + text.replace(" ", "  ")

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import dates, jsons, numbers, strings
+from .functions import dates, jsons, markup, numbers, strings
 from .operators import chunking, embedding, index, search
 from .plans.builder import QueryBuilder
 from .plans.catalog import database, load, sample_graph
@@ -302,6 +302,24 @@ def json_paths(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", jsons.get_int("props", "k").alias("k"), jsons.query("props", "/k").alias("text"), jsons.get_double("props", "k").alias("number"), jsons.get_string("props", "k.deep[2]").alias("none"), jsons.has_key("props", "k").alias("has_k"))
 
 
+@query("""SELECT event_id, '{"k":' || (props->>'$.k') || ',"z":1}' AS put, '{}' AS removed, CAST(1 AS INT) AS n FROM events""")
+def json_members(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", jsons.put("props", "z", F.lit("1")).alias("put"), jsons.remove("props", "k").alias("removed"), jsons.size(F.col("props")).alias("n"))
+
+
+@query("""SELECT p_partkey, '{"part": {"size": ' || p_size || ', "brand": "' || p_brand || '"}}' AS as_json, '<part><size>' || p_size || '</size><brand>' || p_brand || '</brand></part>' AS back FROM part""")
+def xml_and_json(spark, sf_dir):
+    xml = F.concat(F.lit('<part size="'), F.col("p_size").cast("string"), F.lit('"><brand>'), strings.xml_escape("p_brand"), F.lit("</brand></part>"))
+    to_json, to_xml = markup.on_batches(markup.xml_to_json), markup.on_batches(markup.json_to_xml)
+    return load(spark, sf_dir, "part").select("p_partkey", to_json(xml).alias("as_json")).withColumn("back", to_xml(F.col("as_json")))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'text/html' ELSE 'application/octet-stream' END AS mime FROM pages")
+def str_mime(spark, sf_dir):
+    name = F.when(F.col("page_id") % 2 == 0, F.lit("a/b.HTML")).otherwise(F.lit("a/b."))
+    return load(spark, sf_dir, "pages").select("page_id", markup.mime_type(name).alias("mime"))
+
+
 @query("SELECT event_type, window_start, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM events) GROUP BY ALL")
 def event_windows(spark, sf_dir):
     return sweep.events_by_window(load(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
