@@ -30,6 +30,7 @@ LIMIT = 4096
 KEPT_PREFIX = 7
 
 
+SHORT = (2, 1)
 #: Places where no piece goes on: between a letter and a punctuation mark, and around line ends.  Checked against the vocabulary.
 CUT = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,!|:;?])|(?<=\n)(?!$)|(?<!^)(?=\n)")
 
@@ -46,12 +47,12 @@ class PrefixCounter:
         self.state_size = state_size
         self.fits: dict[str, dict[str, bool]] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
-        #: Sizes of the pieces that end with two given characters, largest first.
-        self.sizes: dict[str, list[int]] = {}
+        #: Sizes of the pieces that end with three given characters, largest first, and then 2 and 1.
+        found: dict[str, set[int]] = {}
         for piece in self.pieces.id:
-            if len(piece) > 1:
-                self.sizes.setdefault(piece[-2:], []).append(len(piece))
-        self.sizes = {tail: sorted(set(sizes), reverse=True) for tail, sizes in self.sizes.items()}
+            if len(piece) > 2:
+                found.setdefault(piece[-3:], {1, 2}).add(len(piece))
+        self.sizes = {tail: tuple(sorted(sizes, reverse=True)) for tail, sizes in found.items()}
 
     def _halves(self, piece: str) -> tuple[str, str] | None:
         """The two pieces whose merge gives ``piece``; None for a single character and for a piece that merging never gives."""
@@ -97,7 +98,7 @@ class PrefixCounter:
         for i in range(1, len(segment) + 1):
             state = states.get(segment[:i]) if i <= KEPT_PREFIX else None
             if state is None:
-                for size in (*sizes.get(segment[i - 2 : i], ()), 1) if i > 1 else (1,):
+                for size in sizes.get(segment[i - 3 : i], SHORT) if i > 2 else SHORT:
                     if size > i or (piece := segment[i - size : i]) not in ids:
                         continue
                     before = lasts[i - size]
@@ -156,13 +157,13 @@ class PrefixCounter:
                 if known is None:
                     part = parts[at]
                     found[at] = cache.get(part) or self._counts(part)
-        if any(type(x) is not bytes for x in found):
-            found = [x if type(x) is not bytes else np.frombuffer(x, "<u2") for x in found]
-            sizes = np.array([len(x) for x in found])
-            within = np.concatenate([np.asarray(x, np.int32) for x in found])
-        else:
-            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        try:
             within = np.frombuffer(b"".join(found), "<u2").astype(np.int32)
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        except TypeError:  # a long segment's counts are an array
+            own = [np.frombuffer(x, "<u2") if type(x) is bytes else x for x in found]
+            within = np.concatenate([np.asarray(x, np.int32) for x in own])
+            sizes = np.array([len(x) for x in own])
         ends = np.cumsum(sizes)
         totals = np.cumsum(within[ends - 1])
         base = np.repeat(totals - within[ends - 1], sizes)
