@@ -124,9 +124,9 @@ def fetch_count(spark, sf_dir):
     return spark.createDataFrame([(db.fetch_count(text, "O"), db.exists(text, "O"))], "n long, found boolean")
 
 
-@query("SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
+@query("SELECT o_custkey, o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM orders")
 def sql_pass_through(spark, sf_dir):
-    return database(spark, sf_dir, "orders").sql("SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
+    return database(spark, sf_dir, "orders").sql("SELECT o_custkey, o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM orders")
 
 
 # --- index metadata and sweeps
@@ -149,17 +149,18 @@ def index_status(spark, sf_dir):
 
 
 @query("""
-    WITH old AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 5 <> 0),
-    new AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS sha FROM documents WHERE doc_id % 11 <> 0)
+    WITH old AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE source <> 'src2'),
+    new AS (SELECT doc_id, sha256(CASE WHEN lang = 'es' THEN text || '!' ELSE text END) AS sha FROM documents WHERE lang <> 'de')
     SELECT doc_id, CASE WHEN new.sha IS NULL THEN 'delete' WHEN old.sha IS NULL THEN 'insert' WHEN old.sha = new.sha THEN 'unchanged' ELSE 'update' END AS action
     FROM old FULL JOIN new USING (doc_id)
 """)
 def sweep_actions(spark, sf_dir):
-    """The comparison of two states of a tree; the states are made from the table by rule, each over all of its rows."""
+    """The comparison of two states of a corpus: one source came in, one language went away and another one was edited."""
     docs = load(spark, sf_dir, "documents")
-    old = docs.filter("doc_id % 5 <> 0").select(F.lit("r").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))
-    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    new = docs.filter("doc_id % 11 <> 0").select(F.lit("r").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.sha2(text, 256).alias("sha256"))
+    key = [F.lit("r").alias("repo"), F.col("doc_id").cast("string").alias("path")]
+    edited = F.when(F.col("lang") == "es", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    old = docs.filter("source <> 'src2'").select(*key, F.sha2("text", 256).alias("sha256"))
+    new = docs.filter("lang <> 'de'").select(*key, F.sha2(edited, 256).alias("sha256"))
     return index.actions(old, new).select(F.col("path").cast("long").alias("doc_id"), "action")
 
 
@@ -314,9 +315,9 @@ def xml_and_json(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", to_json(xml).alias("as_json")).withColumn("back", to_xml(F.col("as_json")))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'text/html' ELSE 'application/octet-stream' END AS mime FROM pages")
+@query("""SELECT page_id, CASE WHEN contains(html, 'lang="de"') THEN 'text/html' ELSE 'application/octet-stream' END AS mime FROM pages""")
 def str_mime(spark, sf_dir):
-    name = F.when(F.col("page_id") % 2 == 0, F.lit("a/b.HTML")).otherwise(F.lit("a/b."))
+    name = F.when(F.contains("html", F.lit('lang="de"')), F.lit("a/b.HTML")).otherwise(F.lit("a/b."))
     return load(spark, sf_dir, "pages").select("page_id", markup.mime_type(name).alias("mime"))
 
 
