@@ -45,15 +45,16 @@ def actions(existing: DataFrame, found: DataFrame) -> DataFrame:
 class Index:
     """One project's tables under ``folder/<project>``."""
 
-    def __init__(self, spark: SparkSession, folder: str, project: str, settings: Settings | None = None, model: Embedder | None = None):
+    def __init__(self, spark: SparkSession, folder: str, project: str, settings: Settings | None = None, model: Embedder | None = None, buckets: int = 16):
         if not is_valid_name(project):
             raise ValueError(f"project name {project!r} does not match [a-z][a-z0-9_]*")
         self.spark, self.project = spark, project
         self.settings = settings or Settings()
         self.model = model or HashingEmbedder(self.settings.dimension)
         self.folder = f"{folder.rstrip('/')}/{project}"
-        self.files = SnapshotTable(spark, f"{self.folder}/files", FILE)
-        self.chunks = SnapshotTable(spark, f"{self.folder}/chunks", CHUNK)
+        # both by file, so that a sweep rewrites the buckets of changed files alone
+        self.files = SnapshotTable(spark, f"{self.folder}/files", FILE, keys=["file_id"], buckets=buckets)
+        self.chunks = SnapshotTable(spark, f"{self.folder}/chunks", CHUNK, keys=["file_id"], buckets=buckets)
         self.meta = SnapshotTable(spark, f"{self.folder}/meta", META)
 
     def bootstrap(self) -> bool:
@@ -123,8 +124,8 @@ class Index:
         counts = {r["action"]: r["count"] for r in planned.groupBy("action").count().collect()}
         made = fresh.count()
         if made or full or counts.get("delete") or counts.get("insert") or counts.get("update"):
-            self.chunks.write(self.chunks.read().join(gone, "file_id", "left_anti").unionByName(fresh))
-            self.files.write(self.files.read().join(gone, "file_id", "left_anti").unionByName(rows))
+            self.chunks.merge(gone, fresh)
+            self.files.merge(gone, rows)
         stats = {
             "scanned": len(listing.files),
             "skipped": listing.skipped + len(listing.files) - sum(counts.get(a, 0) for a in ("insert", "update", "unchanged")),
@@ -150,7 +151,7 @@ class Index:
         gone = files.filter(F.col("repo") == repo).select("file_id")
         n = gone.count()
         self.chunks.delete(gone)
-        self.files.write(files.filter(F.col("repo") != repo))
+        self.files.delete(gone)
         return n
 
     def drop(self) -> None:

@@ -20,7 +20,7 @@ ROW = "id string, document_id string, sequence_number int, text string, extra st
 class Collection:
     def __init__(self, spark: SparkSession, path: str, name: str):
         self.spark, self.name = spark, name
-        self.table = SnapshotTable(spark, f"{path}/{name}/rows", ROW)
+        self.table = SnapshotTable(spark, f"{path}/{name}/rows", ROW, keys=["id"], buckets=16)
         self.meta = SnapshotTable(spark, f"{path}/{name}/meta", "dimension int")
 
     @property
@@ -61,7 +61,7 @@ class Collection:
         return None if row is None else row.asDict()
 
     def delete(self, key: str) -> None:
-        self.table.replace(lambda df: df.filter(F.col("id") != key))
+        self.table.delete(self.spark.createDataFrame([(key,)], "id string"))
 
 
 class VectorStore:

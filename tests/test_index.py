@@ -152,6 +152,28 @@ def test_store_and_records(spark, tmp_path):
     assert store.version == 0
 
 
+def test_changes_touch_their_buckets_only(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"), "k long, v string", keys=["k"], buckets=8, keep=2)
+    table.write(spark.range(100).selectExpr("id AS k", "'old' AS v"))
+    before = table._manifest(table.version)
+    table.upsert(spark.createDataFrame([(3, "new")], "k long, v string"), ["k"])
+    after = table._manifest(table.version)
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+    assert table.read().count() == 100 and table.read().filter("v = 'new'").count() == 1
+    table.delete(spark.createDataFrame([(3,), (4,)], "k long"))
+    assert table.read().count() == 98 and table.read(table.versions()[0]).count() == 100
+    for k in range(20):
+        table.append(spark.createDataFrame([(1000 + k, "more")], "k long, v string"))
+    assert table.read().count() == 118 and max(map(len, table._manifest(table.version).values())) <= 17
+    folders = {f.split("/")[0] for v in table.versions() for fs in table._manifest(v).values() for f in fs}
+    assert {p.name for p in (tmp_path / "t").iterdir() if p.is_dir()} >= folders and len(table.versions()) == 2
+    table.merge(spark.createDataFrame([("more",)], "v string"), None)
+    assert table.read().count() == 98
+    table._commit(table._manifest(table.version), table.version)
+    with pytest.raises(RuntimeError, match="another writer"):
+        table._commit({}, table.version - 1)
+
+
 def test_delimited(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('Name,Qty,When\n" a ""b"" ",3,8/29/2023\n\n,,\n"x\ny",oops,bad\n')
