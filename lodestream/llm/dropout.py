@@ -216,7 +216,8 @@ class DropoutEncoder:
         caches = self.caches
         gets = [c.get for c in caches]
         found: list[list[bytes]] = []
-        holes: dict[tuple[str, int], bytes] = {}
+        #: By key: the words that have to be segmented.
+        holes: list[dict[str, bytes]] = [{} for _ in caches]
         spots: list[list[int]] = []
         for words, own in zip(split, drawn, strict=True):
             got: list[bytes] = []
@@ -224,54 +225,63 @@ class DropoutEncoder:
                 got += map(gets[v], words[k * RUN : (k + 1) * RUN], itertools.repeat(UNKNOWN))
             here = list(places(got, UNKNOWN))
             for at in here:
-                holes[words[at], own[at // RUN]] = b""
+                holes[own[at // RUN]][words[at]] = b""
             found.append(got)
             spots.append(here)
-        if holes:
+        if any(holes):
             self._fill(holes, mark_bytes)
             for words, own, got, here in zip(split, drawn, found, spots, strict=True):
                 for i in here:
-                    got[i] = holes[words[i], own[i // RUN]]
-            for (word, v), ids in holes.items():
-                if len(caches[v]) < self.cache_size and len(word) <= 24:
-                    caches[v][word] = ids
+                    got[i] = holes[own[i // RUN]][words[i]]
+            for cache, made in zip(caches, holes, strict=True):
+                if (room := self.cache_size - len(cache)) > 0:
+                    cache.update([(w, ids) for w, ids in made.items() if len(w) <= 24][:room])
         return [b"".join(got) for got in found]
 
-    def _fill(self, holes: dict[tuple[str, int], bytes], mark_bytes: bytes) -> None:
-        cut: dict[tuple[str, int], list[str]] = {}
-        parts: dict[tuple[str, int], bytes] = {}
-        todo: set[tuple[str, int]] = set()
-        for key in holes:
-            word, v = key
-            if word[1:].isalpha():
-                todo.add(key)
-                continue
-            pieces = CUT.split(word) if word else []
-            if len(pieces) == 1:
-                todo.add(key)
-                continue
-            cut[key] = pieces
-            for p in pieces:
-                known = self.caches[v].get(p)
-                if known is None:
-                    todo.add((p, v))
+    def _fill(self, holes: list[dict[str, bytes]], mark_bytes: bytes) -> None:
+        """Segment the words of every key: whole where nothing cuts them, else by their parts."""
+        cut: list[dict[str, list[str]]] = []
+        parts: list[dict[str, bytes]] = []
+        words: list[str] = []
+        variants: list[int] = []
+        for v, own in enumerate(holes):
+            known, pieces_of, todo = {}, {}, set()
+            get = self.caches[v].get
+            for word in own:
+                pieces = [word] if word[1:].isalpha() else CUT.split(word) if word else []
+                if len(pieces) == 1:
+                    todo.add(word)
+                    continue
+                pieces_of[word] = pieces
+                for p in pieces:
+                    ids = get(p)
+                    if ids is None:
+                        todo.add(p)
+                    else:
+                        known[p] = ids
+            cut.append(pieces_of)
+            parts.append(known)
+            for word in todo:
+                if len(word) > WIDE:
+                    known[word] = self._one(word, v)
+                else:
+                    words.append(word)
+                    variants.append(v)
+        # words of alike length share a matrix
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable").tolist()
+        for start in range(0, len(order), 20_000):
+            group = order[start : start + 20_000]
+            drawn = [variants[k] for k in group]
+            batch = [words[k] for k in group]
+            for word, v, ids in zip(batch, drawn, self._many(batch, np.array(drawn)), strict=True):
+                parts[v][word] = ids
+        for own, pieces_of, known in zip(holes, cut, parts, strict=True):
+            for word in own:
+                if (pieces := pieces_of.get(word)) is None:
+                    own[word] = known[word]
                 else:
-                    parts[p, v] = known
-        short, wide, long = [], [], []
-        for key in todo:
-            size = len(key[0])
-            (short if size <= 11 else wide if size <= WIDE else long).append(key)
-        parts.update((k, self._one(*k)) for k in long)
-        for keys in (short, wide):
-            for start in range(0, len(keys), 20_000):
-                group = keys[start : start + 20_000]
-                words, variants = zip(*group, strict=True)
-                parts.update(zip(group, self._many(list(words), np.array(variants)), strict=True))
-        for key, pieces in cut.items():
-            v = key[1]
-            holes[key] = b"".join([parts[p, v] for p in pieces]) if key[0] else mark_bytes
-        for key in todo & holes.keys():
-            holes[key] = parts[key]
+                    own[word] = b"".join([known[p] for p in pieces]) if word else mark_bytes
 
     def decode(self, ids: bytes) -> str:
         """The text of a sequence of ids, whatever its segmentation."""
