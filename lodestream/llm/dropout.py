@@ -15,8 +15,8 @@ exactly.  Defined results: null and empty texts have no pieces; characters outsi
 from __future__ import annotations
 
 import hashlib
+import heapq
 import itertools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,15 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import places, slices, text_values
-from .pieces import MARK, Pieces, load, segments
+from .pieces import CUT, MARK, Pieces, load, segments
 
 RATE = 0.1
 VARIANTS = 4
 RUN = 32
 #: Longest segment, in characters, that goes through the matrix; longer ones have an agenda of their own.
 WIDE = 24
-#: Independent cuts inside a segment; no piece of the vocabulary goes across (checked when it is loaded).
-CUT = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,!|:;?])|(?<=\n)(?!$)|(?<!^)(?=\n)")
 #: The rank of no merge.
 _NONE = np.int32(1 << 30)
 
@@ -50,8 +48,6 @@ def _keyed(seed: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray
 class DropoutEncoder:
     def __init__(self, path: str, rate: float = RATE, seed: int = 1, variants: int = VARIANTS, cache_size: int = 100_000):
         self.pieces: Pieces = load(path)
-        if any(len(CUT.split(p)) > 1 for p in self.pieces.id):
-            raise ValueError("this vocabulary has pieces across the cuts")
         self.rate, self.variants, self.cache_size = rate, variants, cache_size
         self.limit = np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
         self.seeds = [int.from_bytes(hashlib.blake2b(f"{seed}:{v}".encode(), digest_size=8).digest(), "big") for v in range(variants)]
@@ -162,8 +158,6 @@ class DropoutEncoder:
 
     def _one(self, word: str, variant: int) -> bytes:
         """The ids of a long segment: a heap instead of the matrix, the same order and the same hash."""
-        import heapq
-
         ids, rank = self.pieces.id, self.pieces.rank
         seed = np.array([self.seeds[variant]], np.uint64)
         symbols, after, before = list(word), [*range(1, len(word)), -1], [-1, *range(len(word) - 1)]

@@ -8,9 +8,12 @@ front of every mark that follows another character: merges never cross such a cu
 from __future__ import annotations
 
 import heapq
+import re
 
 #: The character that stands for a space in pieces (a fixed value of the format).
 MARK = "▁"
+#: Places inside segments where no piece goes on: between a letter and a punctuation mark, and around line ends.
+CUT = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,!|:;?])|(?<=\n)(?!$)|(?<!^)(?=\n)")
 
 
 class Pieces:
@@ -29,6 +32,8 @@ class Pieces:
         self.longest = max(map(len, self.id))
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("this vocabulary has pieces that go across white space")
+        if any(len(CUT.split(p)) > 1 for p in self.id):
+            raise ValueError("this vocabulary has pieces that go across the cuts")
         self.bytes: list[bytes] = [p.replace(MARK, " ").encode() for p in self.text]
         for value, i in self.byte_id.items():
             self.bytes[i] = bytes([value])

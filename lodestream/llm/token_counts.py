@@ -14,7 +14,6 @@ UTF-8 bytes; the prefixes are those after each code point.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,23 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_values
-from .pieces import MARK, load, segments
+from .pieces import CUT, MARK, load, segments
 
 LIMIT = 4096
 #: States are remembered for prefixes of segments up to this many characters.
 KEPT_PREFIX = 7
-
-
+#: Sizes to try where no longer piece ends.
 SHORT = (2, 1)
-#: Places where no piece goes on: between a letter and a punctuation mark, and around line ends.  Checked against the vocabulary.
-CUT = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,!|:;?])|(?<=\n)(?!$)|(?<!^)(?=\n)")
 
 
 class PrefixCounter:
     def __init__(self, path: str, cache_size: int = 300_000, state_size: int = 500_000):
         self.pieces = load(path)
-        if any(len(CUT.split(p)) > 1 for p in self.pieces.id):
-            raise ValueError("this vocabulary has pieces across the cuts")
         self.cache: dict[str, np.ndarray | bytes] = {}
         self.cache_size = cache_size
         #: Last piece and count at a prefix of a segment.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestream.llm import audio, components, dropout, packing, pii, quality_knn, quality_rules, simhash, substrings, token_counts, warc
 from lodestream.llm import queries as llm_queries
 from lodestream.llm.queries import vocabulary
+from lodestream.session import scratch_path, written
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -180,7 +181,7 @@ def test_warc_round_trip(spark):
     tricky = "x" * 99 + "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n"
     rows = [(1, "u", None), (2, "u", ""), (3, None, "short"), (4, "u", "short"), (5, "http://a/ü\r\nX: y", big), (7, "u", big), (6, "u", big), (8, "u", tricky), (9, "u", tricky), (9, "u", tricky), (10, "u", "y" * 100), (11, "u", "y" * 99), (12, "u", "y" * 99)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("number", F.lit(1)).repartition(3)
-    path = f"{components.written.__globals__['scratch_path'](spark, 'warc-test')}"
+    path = scratch_path(spark, "warc-test")
     warc.write(pages, path)
     found = warc.read(spark, path, with_payload=True).collect()
     assert len(found) == len(rows)
@@ -404,6 +405,6 @@ def test_pipeline(spark):
             if name == "pii":
                 assert rows[500]["text"].startswith("write to [EMAIL] clean0")
             assert all(r["n_chars"] == len(r["text"]) for r in rows.values()) or k < 2
-        docs = components.written(after, "test")
+        docs = written(after, "test")
     assert docs.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert pipeline.run(spark, SF).count() > 0
