@@ -61,9 +61,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
+    dropped_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver remove an existing scratch path when it ends in good order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """Within it, at most ``rows`` rows go to Python at once: rows may be long texts, and a batch is held on both sides."""
