@@ -215,7 +215,9 @@ def passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", wi
 
     rows, texts = opened.select(*KEY, "hashes"), keyed.select(*KEY, "text", F.lit(None).cast("binary").alias("runs"))
     for length, then in zip(ladder, [*ladder[1:], None], strict=True):
-        judged = texts.join(_lone(rows), KEY, "left").select(*KEY, "text", "runs", "lone")
+        # written, so that both sides of the join are plain shuffles and a text with very many copies can be split over tasks
+        lone = written(_lone(rows), f"lone-{length}")
+        judged = texts.join(lone, KEY, "left").select(*KEY, "text", "runs", "lone")
         state = written(judged.mapInArrow(close_level(length, then), "k1 long, k2 long, text string, runs binary, hashes array<long>"), f"level-{length}")
         rows, texts = state.select(*KEY, "hashes"), state.select(*KEY, "text", "runs")
         if state.isEmpty():
