@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is an aggregation and a join over the edges, so no task holds a component and no hub's neighbours are gathered; each
-round's edges are written to the shared folder, which cuts the lineage and survives lost executors.
+Every step is an aggregation and a join over the edges, so no task holds a component and no hub's neighbours are gathered.  What is joined is
+written to the shared folder first: that cuts the lineage, survives lost executors, and leaves the join two plain shuffles, of which adaptive
+execution can split the rows of a hub.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ def roots(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return now.select("u", F.col("v").alias("root"))
         # large star: every larger neighbour of u moves to the smallest node around u
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         # small star: u and its smaller neighbours move to the smallest of them
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
         moved = large.join(lower, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(moved.union(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
         before, state, now = state, _state(after), after

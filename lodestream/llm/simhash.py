@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = roots(links(distinct.select("fp")))
     rooted = distinct.join(found.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     placed = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(placed, "fp").select("doc_id", "fp", "component_id")
 
