@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import dropped_at_exit, scratch_path, written
 
 MIN_SHARED = 100
 #: Code points of a block that go into one record, and code points in a transfer chunk.
@@ -48,7 +48,8 @@ def roles(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html",
         F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")
     ).withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     shared = digested.filter(F.col("payload_bytes") >= MIN_SHARED).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    shared = shared.filter("first < last").select("payload_digest", "first")
+    # written, so that the planner knows its size, and a payload of very many pages can be split over tasks
+    shared = written(shared.filter("first < last").select("payload_digest", "first"), "shared-payloads")
     return digested.join(shared, "payload_digest", "left").select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to")
     )
@@ -275,4 +276,5 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "ht
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write(pages, path, id_col, payload_col, url_col)
+    dropped_at_exit(spark, path)
     return read(spark, path)
