@@ -4,8 +4,9 @@ Merges are taken from an agenda, best-scored pair first and leftmost of equals,
 skipped when a keyed hash of its place and piece falls under the dropout rate.  Seeds give varied segmentations of the same text, all of
 them sequences of vocabulary pieces, and the same seed gives the same one anywhere.  A rate of zero gives the plain encoding.
 
-Every run of ``RUN`` words draws one of ``VARIANTS`` keys by a hash of the seed, the text and its place, so frequent words are segmented once
-per key.
+Every occurrence of a word draws for itself: its key is a hash of the seed, the text and its place there.  What follows from the draws is
+remembered, not the draws: a tree of decisions for each word, in which a node is a candidate, its branches are "merged" and "skipped", and a leaf
+holds the pieces.  All occurrences walk their trees at once; only where a branch was never taken is the word segmented.
 The agendas of many words are processed at once: a matrix holds each word's candidates by rank and each step pops the best of every word.
 
 The piece mark, where it stands in a text itself, is written as its bytes, so it is not mistaken for a space: decoding returns every text
@@ -25,35 +26,99 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import places, slices, text_values
+from .common import slices, text_values
 from .pieces import CUT, MARK, Pieces, load, segments
 
 RATE = 0.1
-VARIANTS = 4
-RUN = 32
-#: Longest segment, in characters, that goes through the matrix; longer ones have an agenda of their own.
+#: Longest segment, in characters, that goes through the matrix and is remembered; longer ones have an agenda of their own.
 WIDE = 24
+#: Misses from this number on are first thinned to one for each branch.
+THIN = 1_000
 #: The rank of no merge.
 _NONE = np.int32(1 << 30)
 
 
-def _keyed(seed: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of a key, the place of a candidate in its word and the piece it would make."""
-    x = seed + (place.astype(np.uint64) << np.uint64(32)) + piece.astype(np.uint64)
-    for mult in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(mult)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of 64 bits."""
+    for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(mult)
     return x ^ (x >> np.uint64(31))
 
 
+def _mixed_one(x: int) -> int:
+    """The same for one Python integer."""
+    x &= _ALL
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _ALL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _ALL
+    return x ^ x >> 31
+
+
+_ALL = (1 << 64) - 1
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or one of twice the size with the same beginning, so that ``size`` entries fit."""
+    if size <= len(array):
+        return array
+    out = np.zeros(max(2 * len(array), size), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 class DropoutEncoder:
-    def __init__(self, path: str, rate: float = RATE, seed: int = 1, variants: int = VARIANTS, cache_size: int = 100_000):
+    #: Keys of occurrences are below this.
+    variants = 1 << 63
+
+    def __init__(self, path: str, rate: float = RATE, seed: int = 1, cache_size: int = 400_000, node_size: int = 4_000_000):
         self.pieces: Pieces = load(path)
-        self.rate, self.variants, self.cache_size = rate, variants, cache_size
-        self.limit = np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
-        self.seeds = [int.from_bytes(hashlib.blake2b(f"{seed}:{v}".encode(), digest_size=8).digest(), "big") for v in range(variants)]
-        self.seed = seed
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.rate, self.cache_size, self.node_size = rate, cache_size, node_size
+        self.limit = min(int(rate * 2.0**64), 2**64 - 1)
+        self.seed = str(seed).encode()
         self._tables()
+        self._clear()
+
+    def _clear(self) -> None:
+        """Forget every word and tree."""
+        #: Number of a word; its parts are ``parts[first[word]:][:number[word]]``, each the slot of a tree's root.
+        self.words: dict[str, int] = {}
+        self.first, self.number, self.parts = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.n_words = self.n_parts = 0
+        self.roots: dict[str, int] = {}
+        self.text_at: dict[int, str] = {}
+        #: What stands at a slot: a node, a leaf as a negative number, or 0 where nobody went.  Node k has the slots 2k (merged) and 2k + 1 (skipped).
+        self.next, self.code, self.n_nodes = np.zeros(1 << 14, np.int32), np.zeros(1 << 13, np.uint64), 1
+        self.leaf_start, self.leaf_size, self.n_leaves = np.zeros(1 << 13, np.int64), np.zeros(1 << 13, np.int64), 1
+        self.leaf_ids, self.n_ids = np.zeros(1 << 15, np.int32), 0
+
+    def _nodes(self, n: int) -> np.ndarray:
+        """The numbers of ``n`` new nodes."""
+        out = np.arange(self.n_nodes, self.n_nodes + n)
+        self.n_nodes += n
+        self.code, self.next = _room(self.code, self.n_nodes), _room(self.next, 2 * self.n_nodes)
+        return out
+
+    def _leaves(self, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The numbers of new leaves, whose ids follow one another."""
+        out = np.arange(self.n_leaves, self.n_leaves + len(sizes))
+        self.n_leaves += len(sizes)
+        self.leaf_start, self.leaf_size = _room(self.leaf_start, self.n_leaves), _room(self.leaf_size, self.n_leaves)
+        self.leaf_start[out], self.leaf_size[out] = self.n_ids + np.cumsum(sizes) - sizes, sizes
+        self.leaf_ids = _room(self.leaf_ids, self.n_ids + len(ids))
+        self.leaf_ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
+        return out
+
+    def _plant(self, parts: list[str]) -> list[int]:
+        """The slots of the roots of parts."""
+        roots = self.roots
+        new = [p for p in dict.fromkeys(parts) if p not in roots]
+        slots = (2 * self._nodes(len(new))).tolist()
+        roots.update(zip(new, slots, strict=True))
+        self.text_at.update(zip(slots, new, strict=True))
+        if "" in new:  # a mark of the text itself
+            ids = np.array([self.pieces.byte_id[b] for b in MARK.encode()], np.int32)
+            self.next[roots[""]] = -self._leaves(np.array([len(ids)]), ids)[0]
+        return list(map(roots.__getitem__, parts))
 
     def _tables(self) -> None:
         """Every pair of pieces whose merge is a piece, as a sorted array of codes."""
@@ -97,8 +162,36 @@ class DropoutEncoder:
             known, codes, place = known[go], codes[go], (place[go] + 1) & self.mask
         return out
 
-    def _many(self, words: list[str], variants: np.ndarray) -> list[bytes]:
-        """The ids of short words, whose agendas are processed together."""
+    def _many(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """The ids of short words, one key each."""
+        at = np.array(self._plant(words))
+        keys = keys.astype(np.uint64)
+        self._grow(words, at, keys)
+        leaves = self._walk(at, keys)[1].tolist()
+        return [self.leaf_ids[(start := self.leaf_start[k]) : start + self.leaf_size[k]].astype("<i4").tobytes() for k in leaves]
+
+    def _walk(self, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last known slot from each slot on, and the leaf there or 0."""
+        slots, leaves = at.copy(), np.zeros(len(at), np.int64)
+        limit = np.uint64(self.limit)
+        for start in range(0, len(at), 1 << 16):
+            rows = np.arange(start, min(start + (1 << 16), len(at)))
+            own, slot = keys[rows], at[rows]
+            while True:
+                found = self.next[slot]
+                ends = np.flatnonzero(found <= 0)
+                slots[rows[ends]], leaves[rows[ends]] = slot[ends], -found[ends]
+                on = np.flatnonzero(found > 0)
+                if not len(on):
+                    break
+                rows, own, node = rows[on], own[on], found[on].astype(np.int64)
+                slot = 2 * node + (_mixed(own + self.code[node]) < limit)
+        return slots, leaves
+
+    def _grow(self, words: list[str], slot: np.ndarray, keys: np.ndarray) -> None:
+        """Segment short words, whose agendas are processed together, and add to their trees, from the roots on, the branches that they take."""
+        slot = slot.copy()
+        limit = np.uint64(self.limit)
         ids = self.pieces.id
         n, width = len(words), max(map(len, words))
         lengths = np.fromiter(map(len, words), np.int64, n)
@@ -113,7 +206,6 @@ class DropoutEncoder:
         merge = self._lookup(symbol[:, :-1].ravel(), symbol[:, 1:].ravel()).reshape(n, width)
         agenda = self.ranks[merge]
         rows = np.arange(n)
-        seeds = np.array(self.seeds, np.uint64)[variants]
         while len(rows):
             best = agenda[rows].argmin(axis=1)
             going = agenda[rows, best] < _NONE
@@ -121,12 +213,17 @@ class DropoutEncoder:
             if not len(rows):
                 break
             made = self.made[merge[rows, best]]
-            if self.rate:
-                skipped = _keyed(seeds[rows], best, made) < self.limit
-                agenda[rows[skipped], best[skipped]] = _NONE
-                act, at, new = rows[~skipped], best[~skipped], made[~skipped]
-            else:
-                act, at, new = rows, best, made
+            code = (best.astype(np.uint64) << np.uint64(32)) + made.astype(np.uint64)
+            skipped = _mixed(keys[rows] + code) < limit
+            here = slot[rows]
+            fresh = np.flatnonzero(self.next[here] == 0)
+            if len(fresh):
+                distinct, first = np.unique(here[fresh], return_index=True)
+                nodes = self._nodes(len(distinct))
+                self.code[nodes], self.next[distinct] = code[fresh[first]], nodes
+            slot[rows] = 2 * self.next[here].astype(np.int64) + skipped
+            agenda[rows[skipped], best[skipped]] = _NONE
+            act, at, new = rows[~skipped], best[~skipped], made[~skipped]
             gone = after[act, at]
             following = after[act, gone]
             symbol[act, at] = new
@@ -142,24 +239,21 @@ class DropoutEncoder:
             prior, held = before[act, at][has], act[has]
             left = self._lookup(symbol[held, prior], new[has])
             merge[held, prior], agenda[held, prior] = left, self.ranks[left]
-        out = []
-        kept = symbol[:, :width][alive[:, :width]].astype("<i4").tobytes()
-        ends = (4 * np.cumsum(alive[:, :width].sum(axis=1))).tolist()
-        start = 0
-        unknown = (symbol[:, :width] < 0) & alive[:, :width]
-        for k, end in enumerate(ends):
-            out.append(kept[start:end])
-            start = end
-        for k in np.flatnonzero(unknown.any(axis=1)).tolist():
-            places = np.flatnonzero(alive[k, :width])
-            parts = [[int(symbol[k, p])] if symbol[k, p] >= 0 else self.pieces.ids_of(words[k][p]) for p in places]
-            out[k] = np.array([i for part in parts for i in part], "<i4").tobytes()
-        return out
-
-    def _one(self, word: str, variant: int) -> bytes:
+        fresh = np.flatnonzero(self.next[slot] == 0)
+        distinct, first = np.unique(slot[fresh], return_index=True)
+        fresh = fresh[first]
+        symbol, alive = symbol[fresh, :width], alive[fresh, :width]
+        unknown = ((symbol < 0) & alive).any(axis=1)
+        plain = np.flatnonzero(~unknown)
+        self.next[distinct[plain]] = -self._leaves(alive[plain].sum(axis=1), symbol[plain][alive[plain]])
+        for k in np.flatnonzero(unknown).tolist():
+            word = words[fresh[k]]
+            found = [i for p in np.flatnonzero(alive[k]) for i in ([int(symbol[k, p])] if symbol[k, p] >= 0 else self.pieces.ids_of(word[p]))]
+            self.next[distinct[k]] = -self._leaves(np.array([len(found)]), np.array(found, np.int32))[0]
+
+    def _one(self, word: str, key: int) -> bytes:
         """The ids of a long segment: a heap instead of the matrix, the same order and the same hash."""
         ids, rank = self.pieces.id, self.pieces.rank
-        seed = np.array([self.seeds[variant]], np.uint64)
         symbols, after, before = list(word), [*range(1, len(word)), -1], [-1, *range(len(word) - 1)]
         agenda = [(r, i, a + b) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := rank.get(a + b)) is not None]
         heapq.heapify(agenda)
@@ -168,7 +262,7 @@ class DropoutEncoder:
             j = after[i]
             if j < 0 or not symbols[i] or symbols[i] + symbols[j] != merged:
                 continue
-            if self.rate and _keyed(seed, np.array([i]), np.array([ids[merged]]))[0] < self.limit:
+            if self.limit and _mixed_one(key + (i << 32) + ids[merged]) < self.limit:
                 continue
             symbols[i], symbols[j] = merged, ""
             after[i] = k = after[j]
@@ -196,102 +290,92 @@ class DropoutEncoder:
                 out += [head[1:], *rest] if len(head) > 1 else rest
         return [w for k, w in enumerate(out) if w or k]
 
-    def _draw(self, text: str, words: int) -> np.ndarray:
-        """Which key each run of words takes."""
-        n = -(-words // RUN)
-        start = np.uint64(zlib.crc32(text.encode()) | (self.seed & 0xFFFFFFFF) << 32)
-        return (_keyed(np.full(n, start), np.arange(n), np.zeros(n, np.int64)) % np.uint64(self.variants)).astype(np.int64)
+    def _learn(self, words: list[str]) -> None:
+        """Number new words, which are whole where nothing cuts them."""
+        split = [[w] if not w or w[1:].isalpha() else CUT.split(w) for w in words]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        parts = self._plant(list(itertools.chain.from_iterable(split)))
+        start, self.n_words = self.n_words, self.n_words + len(words)
+        self.words.update(zip(words, range(start, self.n_words), strict=True))
+        self.first, self.number = _room(self.first, self.n_words), _room(self.number, self.n_words)
+        self.first[start : self.n_words], self.number[start : self.n_words] = self.n_parts + np.cumsum(sizes) - sizes, sizes
+        self.parts = _room(self.parts, self.n_parts + len(parts))
+        self.parts[self.n_parts : self.n_parts + len(parts)] = parts
+        self.n_parts += len(parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        mark_bytes = np.array([self.pieces.byte_id[b] for b in MARK.encode()], "<i4").tobytes()
+        if len(self.words) > self.cache_size or self.n_nodes > self.node_size:
+            self._clear()
         split = [self._words(t) for t in texts]
-        drawn = [self._draw(t, len(w)).tolist() for t, w in zip(texts, split, strict=True)]
-        caches = self.caches
-        gets = [c.get for c in caches]
-        found: list[list[bytes]] = []
-        #: By key: the words that have to be segmented.
-        holes: list[dict[str, bytes]] = [{} for _ in caches]
-        spots: list[list[int]] = []
-        for words, own in zip(split, drawn, strict=True):
-            got: list[bytes] = []
-            for k, v in enumerate(own):
-                got += map(gets[v], words[k * RUN : (k + 1) * RUN], itertools.repeat(UNKNOWN))
-            here = list(places(got, UNKNOWN))
-            for at in here:
-                holes[own[at // RUN]][words[at]] = b""
-            found.append(got)
-            spots.append(here)
-        if any(holes):
-            self._fill(holes, mark_bytes)
-            for words, own, got, here in zip(split, drawn, found, spots, strict=True):
-                for i in here:
-                    got[i] = holes[own[i // RUN]][words[i]]
-            for cache, made in zip(caches, holes, strict=True):
-                if (room := self.cache_size - len(cache)) > 0:
-                    cache.update([(w, ids) for w, ids in made.items() if len(w) <= 24][:room])
-        return [b"".join(got) for got in found]
-
-    def _fill(self, holes: list[dict[str, bytes]], mark_bytes: bytes) -> None:
-        """Segment the words of every key: whole where nothing cuts them, else by their parts."""
-        cut: list[dict[str, list[str]]] = []
-        parts: list[dict[str, bytes]] = []
-        words: list[str] = []
-        variants: list[int] = []
-        for v, own in enumerate(holes):
-            known, pieces_of, todo = {}, {}, set()
-            get = self.caches[v].get
-            for word in own:
-                pieces = [word] if word[1:].isalpha() else CUT.split(word) if word else []
-                if len(pieces) == 1:
-                    todo.add(word)
-                    continue
-                pieces_of[word] = pieces
-                for p in pieces:
-                    ids = get(p)
-                    if ids is None:
-                        todo.add(p)
-                    else:
-                        known[p] = ids
-            cut.append(pieces_of)
-            parts.append(known)
-            for word in todo:
-                if len(word) > WIDE:
-                    known[word] = self._one(word, v)
-                else:
-                    words.append(word)
-                    variants.append(v)
-        # words of alike length share a matrix
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(lengths, kind="stable").tolist()
-        for start in range(0, len(order), 20_000):
-            group = order[start : start + 20_000]
-            drawn = [variants[k] for k in group]
-            batch = [words[k] for k in group]
-            for word, v, ids in zip(batch, drawn, self._many(batch, np.array(drawn)), strict=True):
-                parts[v][word] = ids
-        for own, pieces_of, known in zip(holes, cut, parts, strict=True):
-            for word in own:
-                if (pieces := pieces_of.get(word)) is None:
-                    own[word] = known[word]
-                else:
-                    own[word] = b"".join([known[p] for p in pieces]) if word else mark_bytes
+        words = list(itertools.chain.from_iterable(split))
+        if not words:
+            return [b""] * len(texts)
+        numbers = np.fromiter(map(self.words.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(numbers < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys(words[k] for k in new)))
+            numbers[new] = [self.words[words[k]] for k in new]
+        # the parts of all texts in a row, each with a key of the seed, the text and its place
+        sizes = self.number[numbers]
+        ends = np.cumsum(sizes)
+        roots = self.parts[np.repeat(self.first[numbers] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        text_ends = np.concatenate([[0], ends])[np.cumsum([len(x) for x in split])]
+        text_sizes = np.diff(text_ends, prepend=0)
+        hashes = np.array([int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8, key=self.seed).digest(), "big") for t in texts], np.uint64)
+        place = (np.arange(ends[-1]) - np.repeat(text_ends - text_sizes, text_sizes)).astype(np.uint64)
+        keys = _mixed(np.repeat(hashes, text_sizes) + place * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+        leaves, kept = self._segmented(roots, keys)
+        # the ids of the leaves in a row
+        sizes = self.leaf_size[leaves]
+        ends = np.cumsum(sizes)
+        ids = self.leaf_ids[np.repeat(self.leaf_start[leaves] - (ends - sizes), sizes) + np.arange(ends[-1])].astype("<i4").tobytes()
+        self.n_leaves, self.n_ids = kept
+        for word in [w for w in (words[k] for k in new) if len(w) > WIDE]:
+            if self.words.pop(word, None) is not None:
+                for part in [word, *CUT.split(word)]:
+                    if len(part) > WIDE and (root := self.roots.pop(part, None)) is not None:
+                        del self.text_at[root]
+        cuts = [0, *(4 * np.concatenate([[0], ends])[text_ends]).tolist()]
+        return [ids[a:b] for a, b in itertools.pairwise(cuts)]
+
+    def _segmented(self, roots: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, tuple[int, int]]:
+        """The leaf of every part, and the numbers of leaves and of ids to keep: those of long parts, made last, serve one occurrence."""
+        slots, leaves = self._walk(roots, keys)
+        missed = np.flatnonzero(leaves == 0)
+        texts = dict.fromkeys(roots[missed].tolist())
+        wide = np.array([r for r in texts if len(self.text_at[r]) > WIDE], np.int64)
+        is_long = np.isin(roots[missed], wide)
+        long, missed = missed[is_long], missed[~is_long]
+        while len(missed):
+            some = missed[np.unique(slots[missed], return_index=True)[1]] if len(missed) > THIN else missed
+            own = [self.text_at[r] for r in roots[some].tolist()]
+            # words of alike length share a matrix
+            order = np.argsort(np.fromiter(map(len, own), np.int64, len(own)), kind="stable")
+            for start in range(0, len(order), 20_000):
+                group = order[start : start + 20_000]
+                self._grow([own[k] for k in group.tolist()], roots[some[group]], keys[some[group]])
+            slots[missed], leaves[missed] = self._walk(slots[missed], keys[missed])
+            missed = missed[leaves[missed] == 0]
+        kept = self.n_leaves, self.n_ids
+        for k in long.tolist():
+            ids = np.frombuffer(self._one(self.text_at[int(roots[k])], int(keys[k])), "<i4")
+            leaves[k] = self._leaves(np.array([len(ids)]), ids)[0]
+        return leaves, kept
 
     def decode(self, ids: bytes) -> str:
         """The text of a sequence of ids, whatever its segmentation."""
         return b"".join(map(self.pieces.bytes.__getitem__, np.frombuffer(ids, "<i4").tolist()))[1:].decode()
 
 
-#: Stands for ids that are not known yet; no real ids have this length.
-UNKNOWN = b"?"
 _encoders: dict[tuple, DropoutEncoder] = {}
 
 
-def encoder(path: str, rate: float, seed: int, variants: int = VARIANTS) -> DropoutEncoder:
+def encoder(path: str, rate: float, seed: int) -> DropoutEncoder:
     """One encoder per Python worker and setting."""
-    key = (path, rate, seed, variants)
+    key = (path, rate, seed)
     if key not in _encoders:
-        _encoders[key] = DropoutEncoder(path, rate, seed, variants)
+        _encoders[key] = DropoutEncoder(path, rate, seed)
     return _encoders[key]
 
 

@@ -71,6 +71,34 @@ def test_matrix_and_heap_agree():
     assert own._many(words, variants) == [own._one(w, int(v)) for w, v in zip(words, variants, strict=True)]
 
 
+def test_every_occurrence_of_a_word_draws_for_itself():
+    own = dropout.DropoutEncoder(vocabulary("piece_bpe_32k.model"), 0.1, 1)
+    n = 6000
+    mark, whole = own.pieces.id["▁"], own.pieces.id["▁a"]
+    ids = np.frombuffer(own.encode([" ".join(["a"] * n)])[0], "<i4")
+    kept = ids[(ids == mark) | (ids == whole)] == whole  # one entry for each occurrence; its only merge is taken or skipped
+    assert len(kept) == n and abs(kept.mean() - 0.9) < 0.02
+    # neighbours do not share their draws
+    assert abs((kept[1:] & kept[:-1]).mean() - 0.81) < 0.03
+    # a frequent word has many forms within one text
+    word = "internationalization"
+    ids = np.frombuffer(own.encode([" ".join([word] * 2000)])[0], "<i4").tolist()
+    forms = "".join(f"{'|' if own.pieces.text[i].startswith('▁') else '+'}{own.pieces.text[i]}" for i in ids).split("|")[1:]
+    assert len(forms) == 2000 and len(set(forms)) > 40
+
+
+def test_remembered_branches_change_no_segmentation():
+    path = vocabulary("piece_bpe_32k.model")
+    rnd = random.Random(3)
+    words = ["the", "international", "wörd", "▁", "considerations,", "x" * 30, "a.b\nc", "x" * 30 + ".", "😀😀", "unbelievable"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 60))) for _ in range(80)]
+    fresh = [dropout.DropoutEncoder(path, 0.3, 9).encode([t])[0] for t in texts[:5]]
+    together, small = dropout.DropoutEncoder(path, 0.3, 9), dropout.DropoutEncoder(path, 0.3, 9, cache_size=2, node_size=10)
+    found = together.encode(texts)
+    assert found == together.encode(texts) == [small.encode([t])[0] for t in texts] and found[:5] == fresh
+    assert [together.decode(x) for x in found] == texts
+
+
 @settings(max_examples=300, deadline=None)
 @given(text=st.lists(st.sampled_from([*PARTS, "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "don't", "\x85", "\xa0", "\x1c", "word"]), max_size=12).map("".join))
 def test_chunk_tokenizer_gives_the_ids_of_the_library(text):
