@@ -131,7 +131,7 @@ class PrefixCounter:
             known, total = b"", 0
             for cut in cuts:
                 got = self.cache.get(cut) or self._counts(cut)
-                if type(got) is not bytes:
+                if type(got) is not bytes or total + got[-2] + 256 * got[-1] >= 60_000:
                     return np.array(self.prefix_counts(part), np.int32)
                 known += (np.frombuffer(got, "<u2") + np.uint16(total)).tobytes() if total else got
                 total = known[-2] + 256 * known[-1]
@@ -146,15 +146,17 @@ class PrefixCounter:
             return np.zeros(1, np.int32)
         cache = self.cache
         found = list(map(cache.get, parts))
+        wide = False
         if None in found:
             for at, known in enumerate(found):
                 if known is None:
                     part = parts[at]
                     found[at] = cache.get(part) or self._counts(part)
-        try:
+                    wide = wide or type(found[at]) is not bytes
+        if not wide:
             within = np.frombuffer(b"".join(found), "<u2").astype(np.int32)
             sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
-        except TypeError:  # a long segment's counts are an array
+        else:  # a long segment's counts are an array; joining would take its bytes without complaint
             own = [np.frombuffer(x, "<u2") if type(x) is bytes else x for x in found]
             within = np.concatenate([np.asarray(x, np.int32) for x in own])
             sizes = np.array([len(x) for x in own])

@@ -38,6 +38,14 @@ def test_prefix_counts_of_long_texts(sp, text):
     assert len(sp.encode(text[:fits])) <= 20 and all(len(sp.encode(text[:i])) > 20 for i in range(fits + 1, min(len(text), fits + 40) + 1))
 
 
+def test_prefix_counts_do_not_wrap_over_cuts(sp):
+    text = "1" * 40_000 + "\n" + "2" * 40_000
+    table = token_counts.PrefixCounter(vocabulary("piece_bpe_32k.model")).table(text)
+    assert int(table[-1]) == len(sp.encode(text)) > 80_000
+    assert [int(table[i]) for i in (40_000, 40_001, 65_600)] == [len(sp.encode(text[:i])) for i in (40_000, 40_001, 65_600)]
+    assert token_counts.fitting(table, 70_000) > 65_000 and (np.diff(table) >= 0).all()
+
+
 def test_batches_of_a_budget():
     assert list(token_counts.batches_of([5, 5, 3, 20, 1, 1], 10)) == [[0, 1], [2], [3], [4, 5]]
 
