@@ -144,6 +144,26 @@ def test_pii_added_kinds_and_redaction(spark):
     ]
 
 
+def test_ibans_end_where_their_country_says(spark):
+    def valid(code, length):
+        account = ("7A" * 17)[: length - 4]
+        number = int("".join(str(int(c, 36)) for c in account + code + "00"))
+        return f"{code}{98 - number % 97:02d}{account}"
+
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", *[valid(c, n) for n, codes in pii.IBAN_CODES.items() for c in codes.split()]]
+    after = ["", " Thank you", " BIC COBADEFF", " 2024-01-01", " 5", " A", ", EUR", " ok", " DE89370400440532013000"]
+    texts = [f"to {iban}{x}" for iban in ibans for x in after]
+    found = collected(pii.counted(docs_of(spark, texts)))
+    for i, t in enumerate(texts):
+        stop = 3 + len(ibans[i // len(after)])
+        second = [f"iban:{stop + 1}:{len(t)}"] if i % len(after) == len(after) - 1 else []
+        assert [x for x in found[i]["spans"].split(",") if x.startswith("iban")] == [f"iban:3:{stop}", *second], t
+    wrong = ["DE89370400440532013000x", "DE893704004405320130001", "xDE89370400440532013000", "DE88 3704 0044 0532 0130 00 Thank"]
+    assert not any("iban" in r["spans"] for r in pii.counted(docs_of(spark, wrong)).collect())
+    clean = pii.redact(docs_of(spark, ["DE89370400440532013000 Thank you"])).first()["text"]
+    assert clean == "[IBAN] Thank you"
+
+
 def test_media_round_trip(spark):
     docs, texts = planted(spark)
     media = audio.media_column(docs)
