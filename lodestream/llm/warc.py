@@ -61,8 +61,8 @@ def _lines(*fields: tuple[str, Column | str]) -> Column:
     return F.concat_ws("", *parts)
 
 
-def _uri(page: Column, serial: Column | str, segment: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(":"), F.lit(serial) if isinstance(serial, str) else serial.cast("string"), F.lit(":"), segment.cast("string"), F.lit(">"))
+def _uri(serial: Column, segment: Column) -> Column:
+    return F.concat(F.lit("<urn:record:"), serial.cast("string"), F.lit(":"), segment.cast("string"), F.lit(">"))
 
 
 def _chunked(body: Column) -> Column:
@@ -93,7 +93,7 @@ def records(pages: DataFrame) -> DataFrame:
     split = F.col("parts") > 1
     header = _lines(
         ("WARC-Type", F.when(~first, F.lit("continuation")).when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit"))),
-        ("WARC-Record-ID", _uri(F.col("page_id"), F.col("serial"), F.col("number"))),
+        ("WARC-Record-ID", _uri(F.col("serial"), F.col("number"))),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", F.regexp_replace("url", "[\\r\\n]+", " ")),
         ("WARC-Page-ID", F.col("page_id")),
@@ -101,7 +101,7 @@ def records(pages: DataFrame) -> DataFrame:
         ("WARC-Refers-To", F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))),
         ("WARC-Profile", F.when(F.col("refers_to").isNotNull(), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         ("WARC-Segment-Number", F.when(split, F.col("number"))),
-        ("WARC-Segment-Origin-ID", F.when(~first, _uri(F.col("page_id"), F.col("serial"), F.lit(1)))),
+        ("WARC-Segment-Origin-ID", F.when(~first, _uri(F.col("serial"), F.lit(1)))),
         ("WARC-Segment-Total-Length", F.when(split & (F.col("number") == F.col("parts")), F.col("total"))),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", F.octet_length("piece")),
@@ -159,13 +159,13 @@ def payload_of(block: bytes) -> tuple[bytes, int]:
     return body, int(fields.get("content-length", len(body)))
 
 
-def _fields(header: dict[str, str]) -> tuple[str, int, str, int | None]:
-    """Type, page, stated digest and reference of a record."""
-    reference = header.get("warc-refers-to")
-    return header["warc-type"], int(header["warc-page-id"]), header["warc-payload-digest"].removeprefix("sha256:"), int(reference[len("<urn:page:") : -1]) if reference else None
+def _fields(header: dict[str, str]) -> tuple[str, int | None, str, int | None]:
+    """Type, page (null where the record names none), stated digest and reference of a record."""
+    reference, page = header.get("warc-refers-to"), header.get("warc-page-id")
+    return header["warc-type"], None if page is None else int(page), header["warc-payload-digest"].removeprefix("sha256:"), int(reference[len("<urn:page:") : -1]) if reference else None
 
 
-def _decoded(kind: str, page: int, stated: str, refers_to: int | None, block: bytes) -> tuple:
+def _decoded(kind: str, page: int | None, stated: str, refers_to: int | None, block: bytes) -> tuple:
     """A result row of a whole block; a response must match the digest that it states."""
     body, size = payload_of(block)
     if kind == "response" and hashlib.sha256(body).hexdigest() != stated:
@@ -241,7 +241,7 @@ def reassembled(pieces: DataFrame) -> DataFrame:
     in_order = F.col("parts.number") == F.sequence(F.lit(1), F.size("parts"))
     joint = parts.select("record_type", "page_id", "digest", "refers_to", joined.alias("block"), "total", in_order.alias("in_order"))
     sound = F.coalesce((F.octet_length("block") == F.col("total")) & F.col("in_order") & F.col("record_type").isNotNull(), F.lit(False))
-    checked = F.when(sound, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments do not add up for page "), F.col("page_id").cast("string"))).cast("binary"))
+    checked = F.when(sound, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments do not add up for page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("binary"))
     return joint.select("record_type", "page_id", "digest", "refers_to", checked.alias("block"))
 
 

@@ -217,6 +217,18 @@ def test_warc_round_trip(spark):
         assert r["payload"] is None if revisit else bytes(r["payload"]).decode() == t
 
 
+def test_pages_without_an_id_are_archived(spark):
+    long, shared = "z" * 40_000, "s" * 200
+    rows = [(None, "u", "short"), (None, "u", long), (None, None, None), (1, "u", shared), (2, "u", shared), (None, "u", shared)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = scratch_path(spark, "warc-null")
+    warc.write(pages, path)
+    found = warc.read(spark, path, with_payload=True).collect()
+    shown = {(r["page_id"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"]).decode()) for r in found}
+    assert len(found) == len(rows)
+    assert shown == {(None, "response", None, "short"), (None, "response", None, long), (None, "response", None, ""), (1, "response", None, shared), (2, "revisit", 1, None), (None, "response", None, shared)}
+
+
 def test_lost_segments_raise(spark):
     schema = "record_type string, page_id long, digest string, refers_to long, origin string, number int, total long, block binary"
     whole = [("response", 1, "d", None, "o", 1, None, b"ab"), ("continuation", 1, "d", None, "o", 2, 4, b"cd")]
