@@ -1,8 +1,8 @@
 """Personal data in texts, in built-in expressions only.
 
 Regular expressions propose spans, validators confirm them (Luhn for cards, mod-97 for IBANs, number ranges for addresses), and words
-nearby adjust a score.  The contract's four base kinds are confirmed by their validators alone; the kinds this method adds (IBANs,
-national numbers, card and account numbers that are announced by a word) stand or fall with their score.
+nearby adjust a score.  The contract's four base kinds are confirmed by their validators alone; the kinds this method adds (IBANs
+and social-security numbers) stand or fall with their score.
 
 Matches are leftmost and do not overlap within a kind.  The patterns below find what the plain ones find, written so that matching
 takes time in proportion to the text: runs are possessive, and a run is tried from its beginning only.  A text is cut by the same
