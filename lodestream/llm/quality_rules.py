@@ -2,7 +2,8 @@
 
 Each rule looks at a document's surface statistics and votes good (1), bad (-1) or abstains (0).  Expectation-maximisation over the
 vote patterns of the whole corpus estimates each rule's accuracy on good and on bad documents and the share of good ones,
-with no labels; a document's verdict is its posterior probability of being good, not the conjunction of all rules.  The patterns
+with no labels; a document's verdict is its posterior probability of being good.  So a bad vote of an inaccurate rule is outvoted by good ones,
+where a filter that every rule must pass would reject the document.  The patterns
 are counted by one aggregation and at most ``3 ** len(RULES)`` counts reach the driver, however large the corpus.
 
 Defined results: null and empty texts have no words, all statistics are zero and ``base_failed`` holds; a word is a run of
@@ -27,7 +28,7 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: A document is kept at this posterior probability of being good.
 THRESHOLD = 0.5
-ROUNDS = 50
+ROUNDS = 100
 
 
 def words_of(text: Column) -> Column:
@@ -78,6 +79,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         duplicate_lines(F.col("_text")).alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
         count_of(F.col("_text"), "!").alias("n_shouts"),
+        count_of(F.col("_text"), ".,;:?!").alias("n_marks"),
+        count_of(F.col("_text"), "\\n").alias("n_breaks"),
         count_of(F.col("_text"), "A-Z").alias("n_capitals"),
         F.size(F.array_distinct("_words")).cast("bigint").alias("n_distinct"),
     )
@@ -105,65 +108,69 @@ class Rule:
         return F.expr(f"CASE WHEN {self.bad} THEN -1 WHEN {self.good} THEN 1 ELSE 0 END")
 
 
-#: SQL over the columns of :func:`statistics`.
+#: SQL over the columns of :func:`statistics`.  Every rule can vote both ways; each kind of junk is seen by two rules or more.
 RULES = (
-    Rule("length", "n_words >= 30", "n_words < 5"),
-    Rule("word_length", "word_chars BETWEEN 3 * n_words AND 9 * n_words", "word_chars > 14 * n_words OR word_chars < 2 * n_words"),
-    Rule("symbols", "false", "n_symbols >= 5 AND 100 * n_symbols > 20 * n_words"),
-    Rule("symbol_share", "false", "n_symbols >= 5 AND 100 * n_symbols > 4 * word_chars"),
-    Rule("lines", "false", "n_dup_lines >= 3 AND 10 * n_dup_lines > n_words"),
-    Rule("repetition", "false", "100 * n_repeat_words > 20 * n_words"),
-    Rule("variety", "false", "100 * n_distinct < 12 * n_words AND n_words BETWEEN 20 AND 2000"),
-    Rule("capitals", "false", "10 * n_capitals > 5 * word_chars"),
-    Rule("shouts", "false", "n_shouts >= 5 AND 5 * n_shouts > n_words"),
+    Rule("length", "n_words >= 50", "n_words < 20"),
+    Rule("word_length", "word_chars BETWEEN 4 * n_words AND 7 * n_words", "word_chars > 9 * n_words OR word_chars < 3 * n_words"),
+    Rule("symbols", "n_symbols = 0 AND n_words >= 20", "10 * n_symbols > n_words"),
+    Rule("symbol_share", "100 * n_symbols < word_chars AND n_words >= 20", "25 * n_symbols > word_chars"),
+    Rule("lines", "n_dup_lines = 0 AND n_breaks >= 3", "50 * n_dup_lines > n_words"),
+    Rule("repetition", "n_repeat_words = 0 AND n_words >= 50", "10 * n_repeat_words > n_words"),
+    Rule("variety", "10 * n_distinct >= 6 * n_words AND n_words >= 50", "10 * n_distinct < 4 * n_words AND n_words >= 50"),
+    Rule("capitals", "100 * n_capitals <= 4 * word_chars AND n_capitals > 0", "10 * n_capitals > word_chars"),
+    Rule("shouts", "n_shouts = 0 AND n_words >= 10", "10 * n_shouts > n_words"),
+    Rule("punctuation", "100 * n_marks BETWEEN 8 * n_words AND 25 * n_words", "100 * n_marks < 4 * n_words OR 100 * n_marks > 60 * n_words"),
 )
-#: Where expectation-maximisation starts: the chance of a good vote and of a bad vote from any rule, on good and on bad documents.
-START_GOOD, START_BAD = (0.8, 0.005), (0.7, 0.4)
-STRENGTH = 0.5
+#: Where expectation-maximisation starts: the chance that a rule which votes is right, on good and on bad documents, and the share of good ones.
+#: Rules seldom accuse a good document; most see one kind of junk and find the others fine.
+START_GOOD, START_BAD = 0.99, 0.2
 START_SHARE = 0.85
+#: The start stays in the estimates with the weight of so many documents, whatever the size of the corpus.
+STRENGTH = 20
 
 
 @dataclass(frozen=True)
 class Model:
-    """The share of good documents and, per rule, the log odds that a good and that a bad vote lend to being good."""
+    """The share of good documents and, per rule, the chance that its vote is right on good and on bad documents."""
 
     prior: float
-    good_odds: tuple[float, ...]
-    bad_odds: tuple[float, ...]
+    on_good: tuple[float, ...]
+    on_bad: tuple[float, ...]
+
+    def lent(self) -> list[tuple[float, float]]:
+        """Per rule, the log odds of being good that a good vote and a bad vote lend."""
+        return [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in zip(self.on_good, self.on_bad, strict=True)]
 
     def odds(self, votes: tuple[int, ...]) -> float:
-        return math.log(self.prior / (1 - self.prior)) + sum(g if v == 1 else b if v == -1 else 0.0 for v, g, b in zip(votes, self.good_odds, self.bad_odds, strict=True))
+        return math.log(self.prior / (1 - self.prior)) + sum(pair[v < 0] for v, pair in zip(votes, self.lent(), strict=True) if v)
 
     def posterior(self, votes: list[Column]) -> Column:
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        for vote, good, bad in zip(votes, self.good_odds, self.bad_odds, strict=True):
+        for vote, (good, bad) in zip(votes, self.lent(), strict=True):
             odds = odds + F.when(vote == 1, F.lit(good)).when(vote == -1, F.lit(bad)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS, prior: float = START_SHARE) -> Model:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> Model:
     """Expectation-maximisation over counted vote patterns.
 
-    Given a document's class, rules vote independently with unknown chances of a good vote, a bad vote and an abstention.  They start
-    out better than chance, which settles which class is the good one.  An abstention is no evidence, and a vote never
-    counts against its own direction.  The starting chances stay in the estimate with the weight of ``STRENGTH`` of the corpus: without
-    them, documents no rule votes on could belong to either class.
+    Given a document's class, the rules that vote are right independently of each other, each with unknown chances on good and on bad documents; an
+    abstention is no evidence.  A rule that accuses good documents often loses weight, and others outvote it; one that never does decides
+    alone.  The start, better than chance, settles which class is the good one.
     """
-    rules, total = range(len(RULES)), sum(n for _, n in patterns)
-    good, bad = [START_GOOD] * len(RULES), [START_BAD] * len(RULES)
-
-    def model() -> Model:
-        return Model(prior, tuple(max(0.0, math.log(g[0] / b[0])) for g, b in zip(good, bad, strict=True)), tuple(min(0.0, math.log(g[1] / b[1])) for g, b in zip(good, bad, strict=True)))
-
-    for _ in range(rounds if total else 0):
-        now = model()
-        share = [(votes, n, 1 / (1 + math.exp(-max(-50.0, min(50.0, now.odds(votes)))))) for votes, n in patterns]
-        all_good = sum(n * p for _, n, p in share)
-        prior = (all_good + STRENGTH * total * START_SHARE) / (total + STRENGTH * total)
-        held = STRENGTH * total
-        good = [tuple((sum(n * p for votes, n, p in share if votes[k] == v) + held * s) / (all_good + held) for v, s in zip((1, -1), START_GOOD, strict=True)) for k in rules]
-        bad = [tuple((sum(n * (1 - p) for votes, n, p in share if votes[k] == v) + held * s) / (total - all_good + held) for v, s in zip((1, -1), START_BAD, strict=True)) for k in rules]
-    return model()
+    rules = range(len(RULES))
+    now = Model(START_SHARE, (START_GOOD,) * len(RULES), (START_BAD,) * len(RULES))
+
+    def right(shares: list[tuple[tuple[int, ...], float]], k: int, vote: int, start: float) -> float:
+        voted = sum(w for votes, w in shares if votes[k])
+        return (sum(w for votes, w in shares if votes[k] == vote) + STRENGTH * start) / (voted + STRENGTH)
+
+    for _ in range(rounds):
+        posterior = [(votes, n, 1 / (1 + math.exp(-max(-50.0, min(50.0, now.odds(votes)))))) for votes, n in patterns]
+        good, bad = [(votes, n * p) for votes, n, p in posterior], [(votes, n * (1 - p)) for votes, n, p in posterior]
+        share = (sum(w for _, w in good) + STRENGTH * START_SHARE) / (sum(n for _, n in patterns) + STRENGTH)
+        now = Model(share, tuple(right(good, k, 1, START_GOOD) for k in rules), tuple(right(bad, k, -1, START_BAD) for k in rules))
+    return now
 
 
 def fitted(stats: DataFrame) -> Model:

@@ -340,14 +340,56 @@ def test_quality_rules(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in found.items() if r["kept"])
 
 
+def brute_fit(patterns):
+    """Expectation-maximisation as one reads it in a textbook, document by document."""
+    votes = np.array([v for v, n in patterns for _ in range(n)])
+    k = votes.shape[1]
+    share, on_good, on_bad = quality_rules.START_SHARE, np.full(k, quality_rules.START_GOOD), np.full(k, quality_rules.START_BAD)
+    held = quality_rules.STRENGTH
+    for _ in range(quality_rules.ROUNDS):
+        like_good = share * np.where(votes == 1, on_good, np.where(votes == -1, 1 - on_good, 1)).prod(axis=1)
+        like_bad = (1 - share) * np.where(votes == -1, on_bad, np.where(votes == 1, 1 - on_bad, 1)).prod(axis=1)
+        p = like_good / (like_good + like_bad)
+        share = (p.sum() + held * quality_rules.START_SHARE) / (len(p) + held)
+        on_good = (p @ (votes == 1) + held * quality_rules.START_GOOD) / (p @ (votes != 0) + held)
+        on_bad = ((1 - p) @ (votes == -1) + held * quality_rules.START_BAD) / ((1 - p) @ (votes != 0) + held)
+    return share, on_good, on_bad
+
+
+def votes_of(**cast):
+    return tuple(cast.get(r.name, 1) for r in quality_rules.RULES)
+
+
 def test_rules_part_good_from_bad_without_labels():
-    clean, short = (1, 1, 0, 0, 0, 0, 0, 0, 0), (0, 1, 0, 0, 0, 0, 0, 0, 0)
-    symbols, shouting = (1, 1, -1, -1, 0, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0, 0, -1, -1)
-    model = quality_rules.fit([(clean, 800), (short, 50), (symbols, 80), (shouting, 70)])
-    assert model.odds(clean) > 0 < model.odds(short) and model.odds(symbols) < 0 > model.odds(shouting)
+    clean, odd = votes_of(), votes_of(repetition=-1)
+    symbols, shouting = votes_of(symbols=-1, symbol_share=-1), votes_of(capitals=-1, shouts=-1, punctuation=-1)
+    echo = votes_of(repetition=-1, variety=-1, punctuation=-1, lines=0)
+    patterns = [(clean, 800), (odd, 40), (symbols, 60), (shouting, 60), (echo, 60)]
+    model = quality_rules.fit(patterns)
+    share, on_good, on_bad = brute_fit(patterns)
+    assert model.prior == pytest.approx(share) and model.on_good == pytest.approx(on_good) and model.on_bad == pytest.approx(on_bad)
+    assert model.odds(clean) > 0 and max(model.odds(x) for x in (symbols, shouting, echo)) < 0
+    # a lone bad vote of a rule that often accuses good documents is outvoted
+    assert model.odds(odd) > 0
     assert quality_rules.fit([]).odds(clean) > 0
 
 
+def test_the_verdict_is_not_all_must_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stats = written(quality_rules.statistics(docs), "test")
+    model = quality_rules.fitted(stats)
+    votes = F.array(*[r.vote() for r in quality_rules.RULES])
+    rows = quality_rules.judged(stats, model).select("doc_id", "base_failed", "kept", "quality", votes.alias("votes")).collect()
+    for r in rows:
+        assert r["quality"] == pytest.approx(1 / (1 + np.exp(-model.odds(tuple(r["votes"])))))
+        assert r["kept"] == (not r["base_failed"] and model.odds(tuple(r["votes"])) >= 0)
+    accused = [r for r in rows if -1 in r["votes"] and not r["base_failed"]]
+    assert any(r["kept"] for r in accused) and any(not r["kept"] for r in accused)
+    known = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    good, bad = [r["kept"] for r in rows if known.get(r["doc_id"]) == 1], [r["kept"] for r in rows if known.get(r["doc_id"]) == 0]
+    assert np.mean(good) > 0.95 and np.mean(bad) < 0.05
+
+
 def test_quality_rules_native(spark):
     import io
     from contextlib import redirect_stdout
