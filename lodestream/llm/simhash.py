@@ -3,39 +3,48 @@
 A document's fingerprint is the bitwise majority of the XXH64 hashes of its word shingles.  Fingerprints that differ in at most
 three bits are linked; linked documents form a component.
 
-Equal fingerprints are joined by aggregation first.  Distinct ones are dealt out by blocks of bits: of ``b`` blocks, ``b - 3`` are free
-of differences in any linked pair, so each pair meets in a group that shares those blocks.  In a group, fingerprints are sorted by
-Gray rank, which puts alike ones side by side.  Runs of them become leaves and runs of leaves become upper nodes; a node holds the bit pattern
-its members share and the mask of those shared bits.  Going down pairs of nodes, shared bits that differ add up, and
-a pair of whole nodes is dropped once they exceed three.  Nodes that already belong to one component are passed over too.
+Equal fingerprints are joined by aggregation first.  Distinct ones are sorted by Gray rank, which puts alike ones side by side, and cut into runs
+of ``RUN``; runs are cut into leaves of ``LEAF``.  A node of the index holds the bits that all its members share, ones and zeros; nodes
+of runs are factored into upper nodes, ``FANOUT`` at a time, level by level up to a few roots.  The search goes down pairs of nodes from the roots.  A pair
+carries the shared bits it has compared and the differences found in them; one level down only the bits that are shared anew are
+compared and their differences added.  A pair of whole groups is dropped once the sum exceeds its bound.  Down to the runs, the levels are joins
+of node tables, in which no fingerprint moves; the runs of a pair that is left meet in a task, which goes down their leaves in the same way.
 
-A group gives the edges of a spanning star, never all pairs.  A group over ``GROUP`` members is cut into slices, and every two slices
-meet in a group of their own, so no task is handed more than ``2 * GROUP`` fingerprints and no pair is lost.
+Two orders of the bits bound the differences further.  Of three differing bits at most one lies in one of the two halves, so there are
+two indexes, sorted by either half first, and a pair of nodes is dropped once it differs in two bits of the first half.  A run then meets
+about as many others as its leading bits are in number, times two, however many runs there are.
+
+A dense group is not compared all with all.  Neighbouring runs are linked first; where two of them turn out to be one component, they
+belong to one stretch, and pairs of runs in one stretch are dropped: all of its members are connected.  Found links are given as
+spanning stars, never as all pairs.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; fewer than three words make one shingle;
-repeated rows are copies of one document; an empty table gives no rows.
+repeated rows are copies of one document; rows without an id are linked like others, but a component's id is the smallest that is there, null where
+there is none; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from ..session import written
+from ..session import small_batches, written
 from .common import byte_values, slices
 from .components import roots
 
 SEED = 42
 SHINGLE = 3
 DISTANCE = 3
-LEAF = 128
+#: Differences that a linked pair has at most in one of the two halves.
+HALF = DISTANCE // 2
+RUN = 1024
+LEAF = 32
 FANOUT = 16
-GROUP = 32_768
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -58,25 +67,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(majority, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp``: ``fp`` is the fingerprint as a signed long with the same bits."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, keys: dict[str, Column] | None = None) -> DataFrame:
+    """``doc_id, fp`` and the long columns ``keys``: ``fp`` is the fingerprint as a signed long with the same bits."""
+    carried = ["doc_id", *(keys or {})]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text"):
                 values = np.array([fingerprint(t, shingle, seed) for t in byte_values(rows.column("text"))], np.uint64)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in carried), pa.array(values.view(np.int64))], names=[*carried, "fp"])
 
-    selected = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return selected.mapInArrow(scan, "doc_id long, fp long")
+    selected = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[k.alias(name) for name, k in (keys or {}).items()])
+    return selected.mapInArrow(scan, ", ".join(f"{c} long" for c in [*carried, "fp"]))
 
 
-def gray_rank(values: np.ndarray) -> np.ndarray:
-    """Place of each 64-bit pattern in the Gray order."""
-    rank = values.copy()
-    for shift in (1, 2, 4, 8, 16, 32):
-        rank ^= rank >> np.uint64(shift)
-    return rank
+# --- inside a task: leaves of sorted patterns, compared in pairs
 
 
 class _Forest:
@@ -106,51 +111,46 @@ class _Forest:
             self.parent = up
 
 
-def linked(values: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges ``(member, smallest of its component)`` among distinct 64-bit patterns linked within ``distance`` bits."""
-    order = np.argsort(gray_rank(values), kind="stable")
-    own = values[order]
-    n = len(own)
-    forest = _Forest(n)
-
-    def nodes(ones: np.ndarray, zeros: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(0, len(ones), size)
-        return np.bitwise_and.reduceat(ones, at), np.bitwise_and.reduceat(zeros, at)
-
-    # a level: the bits that are one, and the bits that are zero, in all members of each node
-    levels = [nodes(own, ~own, LEAF)]
-    while len(levels[-1][0]) > FANOUT:
-        levels.append(nodes(*levels[-1], FANOUT))
-
-    def near(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        ones, zeros = levels[level]
-        return np.bitwise_count((ones[a] & zeros[b]) | (zeros[a] & ones[b])) <= distance
-
-    top = len(levels) - 1
-    a, b = np.triu_indices(len(levels[top][0]))
-    stack = [(top, a[(keep := near(top, a, b))], b[keep])]
-    while stack:
-        level, a, b = stack.pop()
-        if level:
-            below = len(levels[level - 1][0])
-            for k in range(0, len(a), 256):  # few nodes at a time, so that the front stays small
-                x, y = (np.repeat(a[k : k + 256], FANOUT * FANOUT), np.repeat(b[k : k + 256], FANOUT * FANOUT))
-                i = x * FANOUT + np.tile(np.repeat(np.arange(FANOUT), FANOUT), len(a[k : k + 256]))
-                j = y * FANOUT + np.tile(np.arange(FANOUT), FANOUT * len(a[k : k + 256]))
-                real = (i < below) & (j < below) & (i <= j)
-                i, j = i[real], j[real]
-                keep = near(level - 1, i, j)
-                stack.append((level - 1, i[keep], j[keep]))
-            continue
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            left, right = slice(i * LEAF, min(n, (i + 1) * LEAF)), slice(j * LEAF, min(n, (j + 1) * LEAF))
-            root_l, root_r = forest.parent[left], forest.parent[right]
-            if root_l[0] == root_r[0] and (root_l == root_l[0]).all() and (root_r == root_l[0]).all():
-                continue
-            p, q = np.nonzero(np.bitwise_count(own[left, None] ^ own[None, right]) <= distance)
-            r, s = root_l[p], root_r[q]
-            if (differ := r != s).any():
-                pairs = np.unique(np.stack([np.minimum(r, s)[differ], np.maximum(r, s)[differ]]), axis=1)
+def leaves(values: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every leaf the bits that are one, and the bits that are zero, in all its members."""
+    at = np.arange(0, len(values), leaf)
+    return np.bitwise_and.reduceat(values, at), np.bitwise_and.reduceat(~values, at)
+
+
+def leaf_pairs(values: np.ndarray, others: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the leaves of ``values`` and of ``others`` that may hold linked members.
+
+    Patterns have the half that the order begins with in their high bits.
+    """
+    ones, zeros = leaves(values, leaf)
+    other_ones, other_zeros = leaves(others, leaf)
+    differ = (ones[:, None] & other_zeros[None]) | (zeros[:, None] & other_ones[None])
+    return np.nonzero((np.bitwise_count(differ) <= DISTANCE) & (np.bitwise_count(differ >> np.uint64(32)) <= HALF))
+
+
+def linked(first: np.ndarray, second: np.ndarray, inside: bool, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Star edges ``(member, smallest of its component)`` among the patterns of two sorted runs, and whether all are one component.
+
+    ``inside`` also links the members of each run with each other; without it only links between the runs are looked for.
+    """
+    own = np.concatenate([first, second])
+    n, cut, forest = len(own), len(first), _Forest(len(own))
+    parts = [(0, first, cut, second)] if len(second) else []
+    if inside:
+        parts += [(0, first, 0, first), (cut, second, cut, second)] if len(second) else [(0, first, 0, first)]
+    for left, x, right, y in parts:
+        a, b = leaf_pairs(x, y, leaf)
+        if left == right:
+            a, b = a[a <= b], b[a <= b]
+        for k in range(0, len(a), 64):
+            i, j = a[k : k + 64] * leaf, b[k : k + 64] * leaf
+            p, q = (i[:, None] + np.arange(leaf)), (j[:, None] + np.arange(leaf))
+            near = np.bitwise_count(x[np.minimum(p, len(x) - 1)][:, :, None] ^ y[np.minimum(q, len(y) - 1)][:, None, :]) <= DISTANCE
+            near &= (p < len(x))[:, :, None] & (q < len(y))[:, None, :]
+            c, r, t = np.nonzero(near)
+            u, v = forest.parent[p[c, r] + left], forest.parent[q[c, t] + right]
+            if (differ := u != v).any():
+                pairs = np.unique(np.stack([np.minimum(u, v)[differ], np.maximum(u, v)[differ]]), axis=1)
                 forest.join(pairs[0], pairs[1])
                 forest.flatten()
     root = forest.flatten()
@@ -159,87 +159,157 @@ def linked(values: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np
     np.minimum.at(least, root, signed)
     target = least[root]
     moved = target != signed
-    return signed[moved], target[moved]
-
-
-def _blocks(n: int) -> tuple[int, int]:
-    """Number of blocks, and how many of them a group shares, for ``n`` distinct fingerprints: groups of about 64 by chance."""
-    for blocks in (4, 5, 6, 7):
-        if n <= 64 << (64 * (blocks - DISTANCE) // blocks):
-            return blocks, blocks - DISTANCE
-    return 8, 8 - DISTANCE
-
-
-def _keys(fp: Column, blocks: int, shared: int) -> Column:
-    """One key for each choice of ``shared`` blocks: its number and the bits that it picks."""
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in itertools.pairwise(edges)]
-    picks = [sum(masks[k] for k in chosen) for chosen in itertools.combinations(range(blocks), shared)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in picks]
-    return F.array(*[F.struct(F.lit(k).alias("pick"), fp.bitwiseAND(F.lit(m).cast("long")).alias("bits")) for k, m in enumerate(signed)])
-
-
-def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group; each group is linked on its own.  A group's rows may go on over several batches."""
-    columns = ("pick", "bits", "part")
-    held: list[np.ndarray] = []
-    last = None
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if held and (sum(map(len, held)) > 1):
-            u, v = linked(np.unique(np.concatenate(held)))
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        values = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        change = np.zeros(len(values), bool)
-        change[0] = True
-        for k in keys:
-            change[1:] |= k[1:] != k[:-1]
-        starts = np.flatnonzero(change)
-        ends = np.append(starts[1:], len(values))
-        lone = ends - starts == 1
-        inner = lone.copy()
-        inner[0] = inner[-1] = False  # the first and the last may belong to a neighbouring batch
-        for s, e in zip(starts[~inner].tolist(), ends[~inner].tolist(), strict=True):
-            key = tuple(k[s] for k in keys)
-            if key != last:
-                yield from flush()
-                held, last = [], key
-            held.append(values[s:e])
-    yield from flush()
-
-
-def links(distinct: DataFrame) -> DataFrame:
-    """Edges ``u, v`` that connect exactly the fingerprints (column ``fp``, distinct rows of a written table) linked within three bits."""
-    n = distinct.count()
-    keyed = distinct.select("fp", F.explode(_keys(F.col("fp"), *_blocks(n))).alias("key")).select("fp", "key.pick", "key.bits")
-    sizes = keyed.groupBy("pick", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP)
-    sizes = written(sizes.select("pick", "bits", F.ceil(F.col("n") / GROUP).cast("int").alias("parts")), "large-groups")
-    if sizes.isEmpty():
-        grouped = keyed.withColumn("part", F.lit(0))
-    else:
-        mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, mine) * F.col("parts") + F.greatest(k, mine))
-        grouped = keyed.join(sizes, ["pick", "bits"], "left").withColumn("part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(pair))).drop("parts")
-    dealt = grouped.repartition("pick", "bits", "part").sortWithinPartitions("pick", "bits", "part")
-    return dealt.select("pick", "bits", "part", "fp").mapInArrow(_in_groups, "u long, v long")
+    return signed[moved], target[moved], bool((root == root[0]).all())
+
+
+# --- the index: runs in Gray order, their nodes, and pairs of nodes
+
+
+def turned(fp: Column, order: int) -> Column:
+    """The pattern with the half that the order begins with in its high bits."""
+    return fp if order == 0 else F.shiftleft(fp, 32).bitwiseOR(F.shiftrightunsigned(fp, 32))
+
+
+def gray_rank(pattern: Column) -> Column:
+    """Place of each 64-bit pattern in the Gray order, as a signed long that sorts alike."""
+    rank = pattern
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
+    return rank.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+
+
+def indexed(distinct: DataFrame, run: int = RUN) -> DataFrame:
+    """The runs, a written table: ``ord``, ``id`` without gaps in Gray order, ``ones, zeros`` (bits that all members share) and ``members``."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, order, number = np.zeros(0, np.int64), None, 0
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id``, one row per row of ``docs``; ``component_id`` is the smallest id in the component."""
-    marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
+        def made(values: np.ndarray) -> pa.RecordBatch:
+            nonlocal number
+            row = [order, number, int(np.bitwise_and.reduce(values)), int(np.bitwise_and.reduce(~values)), values.tobytes()]
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["ord", "seq", "ones", "zeros", "members"])
+
+        for batch in batches:
+            orders = batch.column("ord").to_numpy(zero_copy_only=False)
+            values = batch.column("pattern").to_numpy(zero_copy_only=False)
+            for own in np.unique(orders).tolist():
+                if own != order and len(held):
+                    yield made(held)
+                    held = held[:0]
+                order, held = own, np.concatenate([held, values[orders == own]])
+                while len(held) >= run:
+                    yield made(held[:run])
+                    held = held[run:]
+        if len(held):
+            yield made(held)
+
+    both = distinct.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("ord")).select("ord", F.when(F.col("ord") == 0, turned(F.col("fp"), 0)).otherwise(turned(F.col("fp"), 1)).alias("pattern"))
+    ranked = both.withColumn("rank", gray_rank(F.col("pattern")))
+    dealt = ranked.repartitionByRange("ord", "rank").sortWithinPartitions("ord", "rank").select("ord", "pattern")
+    runs = dealt.mapInArrow(cut, "ord int, seq long, ones long, zeros long, members binary").withColumn("task", F.spark_partition_id())
+    runs = written(runs, "runs")
+    # two-pass numbering: one total for each task that cut runs, then the place in the task
+    before = runs.groupBy("task").agg(F.count("*").alias("n")).select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
+    return written(runs.join(before, "task").select("ord", (F.col("before") + F.col("seq")).alias("id"), "ones", "zeros", "members"), "index")
+
+
+def _differing(ones: str, zeros: str, other_ones: str, other_zeros: str) -> Column:
+    return F.col(ones).bitwiseAND(F.col(other_zeros)).bitwiseOR(F.col(zeros).bitwiseAND(F.col(other_ones)))
+
+
+def near_runs(runs: DataFrame) -> DataFrame:
+    """``ord, a, b`` with ``a <= b``: the pairs of runs that may hold linked members, found from the upper nodes down."""
+    levels = [runs.select("ord", "id", "ones", "zeros")]
+    highest = runs.agg(F.max("id")).first()[0] or 0
+    while highest >= FANOUT:
+        highest //= FANOUT
+        up = levels[-1].groupBy("ord", F.shiftright("id", 4).alias("id")).agg(F.bit_and("ones").alias("ones"), F.bit_and("zeros").alias("zeros"))
+        levels.append(written(up, "nodes"))
+
+    def node(level: int, side: str) -> DataFrame:
+        return levels[level].select("ord", F.col("id").alias(side), F.shiftright("id", 4).alias(f"up_{side}"), F.col("ones").alias(f"ones_{side}"), F.col("zeros").alias(f"zeros_{side}"))
+
+    def added(pairs: DataFrame) -> DataFrame:
+        """Compare the bits that are shared anew, add their differences, and drop pairs beyond the bounds."""
+        shared = F.col("ones_a").bitwiseOR(F.col("zeros_a")).bitwiseAND(F.col("ones_b").bitwiseOR(F.col("zeros_b")))
+        fresh = _differing("ones_a", "zeros_a", "ones_b", "zeros_b").bitwiseAND(F.bitwise_not("seen"))
+        summed = pairs.select("ord", "a", "b", shared.alias("seen"), (F.col("differ") + F.bit_count(fresh)).alias("differ"), (F.col("differ_first") + F.bit_count(F.shiftrightunsigned(fresh, 32))).alias("differ_first"))
+        return summed.filter((F.col("differ") <= DISTANCE) & (F.col("differ_first") <= HALF))
+
+    top = len(levels) - 1
+    left, right = node(top, "a").drop("up_a"), node(top, "b").drop("up_b")
+    pairs = added(left.join(right, "ord").filter("a <= b").select("*", F.lit(0).cast("long").alias("seen"), F.lit(0).alias("differ"), F.lit(0).alias("differ_first")))
+    for level in range(top - 1, -1, -1):
+        above = pairs.withColumnsRenamed({"a": "up_a", "b": "up_b"})
+        pairs = added(above.join(node(level, "a"), ["ord", "up_a"]).join(node(level, "b"), ["ord", "up_b"]).filter("a <= b"))
+    return pairs.select("ord", "a", "b")
+
+
+_STARS = "id long, joint boolean, u array<long>, v array<long>"
+
+
+def _met(rows: DataFrame, inside: bool, leaf: int) -> DataFrame:
+    """Links of the two runs in each row of ``id, ord, first, second`` (``second`` may be null), as :func:`linked` gives them."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (own, order, first, second) in enumerate(zip(*(batch.column(c) for c in ("id", "ord", "first", "second")), strict=True)):
+                x, y = (np.frombuffer(m.as_py() or b"", np.uint64) for m in (first, second))
+                u, v, joint = linked(x, y, inside, leaf)
+                if order.as_py():
+                    u, v = ((z.view(np.uint64) << np.uint64(32) | z.view(np.uint64) >> np.uint64(32)).view(np.int64) for z in (u, v))
+                yield pa.RecordBatch.from_arrays([pa.array([own.as_py()], pa.int64()), pa.array([joint]), pa.array([u], pa.list_(pa.int64())), pa.array([v], pa.list_(pa.int64()))], names=["id", "joint", "u", "v"])
+
+    with small_batches(rows.sparkSession, 100):  # of two runs each, 64 KB
+        return written(rows.mapInArrow(meet, _STARS), "stars")
+
+
+def _stretches(met: DataFrame) -> DataFrame:
+    """``id, stretch``: runs of one stretch are one component, each having been found joint with the next.
+
+    A stretch's number is that of the breaks before it, summed in blocks of runs first, then over the blocks.
+    """
+    block = F.shiftright("id", 12)
+    breaks = met.select("id", block.alias("block"), F.when(F.col("joint"), 0).otherwise(1).alias("broken"))
+    before = breaks.groupBy("block").agg(F.sum("broken").alias("n")).select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
+    inner = F.sum("broken").over(Window.partitionBy("block").orderBy("id")) - F.col("broken")
+    return breaks.select("id", "block", inner.alias("inner")).join(before, "block").select("id", (F.col("before") + F.col("inner")).alias("stretch"))
+
+
+def links(distinct: DataFrame, run: int = RUN, leaf: int = LEAF) -> DataFrame:
+    """Edges ``u, v`` that connect exactly the fingerprints (column ``fp``, distinct rows of a written table) linked within three bits."""
+    spark = distinct.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    runs = indexed(distinct, run)
+    held = runs.select("ord", "id", "members")
+    following = held.select("ord", (F.col("id") - 1).alias("id"), F.col("members").alias("second"))
+    neighbours = held.withColumnRenamed("members", "first").repartition(parts, "ord", "id").join(following.repartition(parts, "ord", "id"), ["ord", "id"], "left")
+    met = _met(neighbours.select("id", "ord", "first", "second"), True, leaf)
+    stretch = written(_stretches(met), "stretches")
+    apart = near_runs(runs).filter("b > a + 1")
+    apart = apart.join(stretch.select(F.col("id").alias("a"), F.col("stretch").alias("sa")), "a").join(stretch.select(F.col("id").alias("b"), F.col("stretch").alias("sb")), "b").filter("sa <> sb")
+    apart = written(apart.select("ord", "a", "b"), "run-pairs")
+    first = apart.join(held.select("ord", F.col("id").alias("a"), F.col("members").alias("first")), ["ord", "a"])
+    second = held.select("ord", F.col("id").alias("b"), F.col("members").alias("second"))
+    pairs = first.repartition(parts, "ord", "b").join(second.repartition(parts, "ord", "b"), ["ord", "b"])
+    crossed = _met(pairs.select(F.col("a").alias("id"), "ord", "first", "second"), False, leaf)
+    return met.union(crossed).select(F.explode(F.arrays_zip("u", "v")).alias("e")).select("e.u", "e.v")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, leaf: int = LEAF, keys: dict[str, Column] | None = None) -> DataFrame:
+    """``doc_id, fp, component_id, root``, one row per row of ``docs``.
+
+    ``component_id`` is the smallest id in the component, ``root`` its smallest fingerprint; ``keys`` are long columns to carry along.
+    """
+    marked = written(fingerprints(docs, id_col, text_col, keys=keys), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    found = roots(links(distinct.select("fp")))
+    found = roots(links(distinct.select("fp"), run, leaf))
     rooted = distinct.join(found.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    placed = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(placed, "fp").select("doc_id", "fp", "component_id")
+    placed = rooted.join(least, "root").select("fp", "component_id", "root")
+    return marked.join(placed, "fp").select("doc_id", "fp", "component_id", "root", *(keys or {}))
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -247,11 +317,28 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, one row per id, columns unchanged."""
-    found = near_duplicates(docs, id_col, text_col)
-    by_id = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("component_id") == F.col("doc_id")).alias("stays"))
+    """One row of each component, columns unchanged: the one with the smallest id (null is the greatest), of equals any with the smallest hash.
+
+    A row is known by its id, a hash of its text and one of all its columns, never by its id alone: rows that share an id and belong to
+    different components are different documents.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)]
+    names = ["_k1", "_k2"]
+    while set(names) & set(docs.columns):
+        names = [n + "_" for n in names]
+    keys = dict(zip(names, (F.xxhash64(text_col), F.xxhash64(*hashed)), strict=True))
+    found = near_duplicates(docs, id_col, text_col, keys=keys)
+    row = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", *names)
+    counted = written(found.groupBy("root", "doc_id", *names).agg(F.count("*").alias("n")), "rows")
+    chosen = counted.groupBy("root").agg(F.min(row).alias("chosen"))
+    judged = counted.join(chosen, "root").select(F.col("doc_id").alias("_id"), *names, "n", (row == F.col("chosen")).alias("stays"))
     # what goes is far less than what stays; its size is known once it is written, and the planner broadcasts it or not
-    odd = written(by_id.filter("n > 1 or not stays"), "odd-ids")
-    rows = docs.join(odd.filter("not stays").select(F.col("doc_id").alias(id_col)), id_col, "left_anti")
-    repeated = not odd.filter("n > 1 and stays").isEmpty()
-    return (rows.dropDuplicates([id_col]) if repeated else rows).select(*docs.columns)
+    odd = written(judged.filter("n > 1 or not stays"), "odd-rows")
+    listed = odd.select(F.col("_id"), *[F.col(n).alias(f"{n}r") for n in names], "stays")
+    keyed = docs.withColumns(keys)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col(names[0]) == F.col(f"{names[0]}r")) & (F.col(names[1]) == F.col(f"{names[1]}r"))
+    once = keyed.join(listed, same, "left_anti").select(*docs.columns)
+    repeated = listed.filter("stays")
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(names).select(*docs.columns))

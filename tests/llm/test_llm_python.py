@@ -155,9 +155,7 @@ def brute_roots(values) -> dict[int, int]:
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_index_links_what_brute_force_links(seed, monkeypatch):
-    monkeypatch.setattr(simhash, "LEAF", 4)
-    monkeypatch.setattr(simhash, "FANOUT", 3)
+def test_runs_link_what_brute_force_links(seed):
     rnd = random.Random(seed)
     centres = [rnd.getrandbits(64) for _ in range(8)]
     values = set(centres)
@@ -168,9 +166,20 @@ def test_index_links_what_brute_force_links(seed, monkeypatch):
                 v ^= 1 << rnd.randrange(64)
             values.add(v)
     own = np.array(sorted(values), np.uint64)
-    u, v = simhash.linked(own)
-    found = dict(zip(u.tolist(), v.tolist(), strict=True))
-    assert {k: found.get(k, k) for k in brute_roots(own)} == brute_roots(own)
+    expected = brute_roots(own)
+    for cut in (0, 1, len(own) // 2, len(own)):
+        u, v, joint = simhash.linked(own[:cut], own[cut:], True, leaf=4)
+        found = dict(zip(u.tolist(), v.tolist(), strict=True))
+        assert {k: found.get(k, k) for k in expected} == expected and not joint
+    cluster = np.array([expected[int(x)] for x in own.view(np.int64)]) == expected[int(own.view(np.int64)[0])]
+    assert simhash.linked(own[cluster], own[:0], True, leaf=4)[2]
+    u, v, _ = simhash.linked(own[:50], own[50:], False, leaf=4)
+    inside = dict(zip(u.tolist(), v.tolist(), strict=True))
+    near = np.bitwise_count(own[:50, None] ^ own[None, 50:]) <= 3
+    signed = own.view(np.int64)
+    for i, j in zip(*np.nonzero(near), strict=True):
+        a, b = int(signed[i]), int(signed[50 + j])
+        assert inside.get(a, a) == inside.get(b, b)
 
 
 def test_levels_at_most_double():

@@ -280,23 +280,60 @@ def brute_components(texts):
     return prints, root
 
 
-def test_simhash(spark, monkeypatch):
+@pytest.mark.parametrize(("run", "leaf"), [(simhash.RUN, simhash.LEAF), (5, 2), (1, 1)])
+def test_simhash(spark, run, leaf):
     docs, texts = planted(spark)
     prints, root = brute_components(texts)
-    for group in (simhash.GROUP, 3):  # the second cuts every group into slices
-        monkeypatch.setattr(simhash, "GROUP", group)
-        found = collected(simhash.near_duplicates(docs))
-        assert [found[i]["component_id"] for i in range(len(texts))] == root
-        assert [found[i]["fp"] & (2**64 - 1) for i in range(len(texts))] == prints.tolist()
-    assert simhash.hexadecimal(F.lit(0)) is not None
-    kept = simhash.representatives(docs.union(docs).withColumn("fp", F.lit("own")))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root)) and kept.columns[-1] == "fp"
-
-
-def test_more_blocks_keep_every_link(spark, monkeypatch):
+    found = collected(simhash.near_duplicates(docs, run=run, leaf=leaf))
+    assert [found[i]["component_id"] for i in range(len(texts))] == root
+    assert [found[i]["fp"] & (2**64 - 1) for i in range(len(texts))] == prints.tolist()
+
+
+def brute_links(values):
+    near = np.bitwise_count(values[:, None] ^ values[None]) <= 3
+    root = np.arange(len(values))
+    while True:
+        after = np.array([root[row].min() for row in near])
+        if (after == root).all():
+            return root
+        root = after
+
+
+def test_the_index_keeps_every_link_and_prunes(spark):
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(0, 2**64, 3000, np.uint64)
+    near = base[:300].copy()
+    for _ in range(3):  # up to three bits differ, in either half or both
+        near ^= np.uint64(1) << rnd.integers(0, 64, len(near), np.uint64)
+    dense = np.uint64(0xABCDEF0123456789) ^ (np.uint64(1) << rnd.integers(0, 64, (900, 2), np.uint64)).sum(axis=1).astype(np.uint64)
+    values = np.unique(np.concatenate([base, near, dense]))
+    table = written(spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long"), "test")
+    found = {r["u"]: r["root"] for r in components.roots(simhash.links(table, run=16, leaf=4)).collect()}
+    root = brute_links(values)
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, []).append(int(values[i].view(np.int64)))
+    assert found == {v: min(g) for g in groups.values() for v in g if v != min(g)}
+    runs = simhash.indexed(table, run=16)
+    n = {r["ord"]: r["count"] for r in runs.groupBy("ord").count().collect()}
+    pairs = {r["ord"]: r["count"] for r in simhash.near_runs(runs).groupBy("ord").count().collect()}
+    assert all(pairs[o] < n[o] * (n[o] + 1) / 2 / 5 for o in (0, 1))  # the upper nodes drop over four pairs in five
+    ids = [r["id"] for r in runs.select("id").collect()]
+    assert sorted(ids) == list(range(len(ids)))
+
+
+def test_one_row_of_each_component_stays(spark):
     docs, texts = planted(spark)
-    monkeypatch.setattr(simhash, "_blocks", lambda n: (6, 3))
-    assert [r["component_id"] for r in simhash.near_duplicates(docs).orderBy("doc_id").collect()] == brute_components(texts)[1]
+    _, root = brute_components(texts)
+    kept = simhash.representatives(docs.union(docs).withColumn("fp", F.lit("own")).withColumn("_k1", F.lit("own")))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root)) and kept.columns[-2:] == ["fp", "_k1"]
+    long = [" ".join(f"{p}{i}" for i in range(80)) for p in "abcde"]
+    # ids that different texts share, and rows without an id, are told apart by their texts
+    rows = [(7, long[0]), (7, long[1]), (None, long[2]), (None, long[2]), (None, long[3]), (9, long[3]), (8, long[0]), (None, long[4]), (7, long[0])]
+    for table in (rows, rows[::-1]):
+        kept = simhash.representatives(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+        assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted([("7", long[0]), ("7", long[1]), ("None", long[2]), ("9", long[3]), ("None", long[4])])
+    assert {r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows[2:4], "doc_id long, text string")).collect()} == {None}
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -471,7 +508,7 @@ def test_pipeline(spark):
             if name == "simhash_near_dedup":
                 before = sorted(docs.collect(), key=lambda r: r["doc_id"])
                 _, root = brute_components([r["text"] for r in before])
-                assert set(rows) == {before[i]["doc_id"] for i in set(root)}
+                assert set(rows) == {before[i]["doc_id"] for i in set(root)} and after.count() == len(rows)
             if name == "substring_dedup":
                 before = sorted(docs.collect(), key=lambda r: r["doc_id"])
                 for r, (_, gone, kept) in zip(before, brute_substrings([r["text"] for r in before]), strict=True):
