@@ -166,20 +166,18 @@ def test_runs_link_what_brute_force_links(seed):
                 v ^= 1 << rnd.randrange(64)
             values.add(v)
     own = np.array(sorted(values), np.uint64)
-    expected = brute_roots(own)
-    for cut in (0, 1, len(own) // 2, len(own)):
-        u, v, joint = simhash.linked(own[:cut], own[cut:], True, leaf=4)
+    expected, signed = brute_roots(own), own.view(np.int64).tolist()
+    differ = own[:, None] ^ own[None]
+    due = (np.bitwise_count(differ) <= 3) & (np.bitwise_count(differ >> np.uint64(32)) <= 1)  # the other order finds the rest
+    for cut, inside in ((0, True), (1, True), (50, True), (len(own), True), (50, False)):
+        u, v, joint = simhash.linked(own[:cut], own[cut:], inside, leaf=4)
         found = dict(zip(u.tolist(), v.tolist(), strict=True))
-        assert {k: found.get(k, k) for k in expected} == expected and not joint
-    cluster = np.array([expected[int(x)] for x in own.view(np.int64)]) == expected[int(own.view(np.int64)[0])]
-    assert simhash.linked(own[cluster], own[:0], True, leaf=4)[2]
-    u, v, _ = simhash.linked(own[:50], own[50:], False, leaf=4)
-    inside = dict(zip(u.tolist(), v.tolist(), strict=True))
-    near = np.bitwise_count(own[:50, None] ^ own[None, 50:]) <= 3
-    signed = own.view(np.int64)
-    for i, j in zip(*np.nonzero(near), strict=True):
-        a, b = int(signed[i]), int(signed[50 + j])
-        assert inside.get(a, a) == inside.get(b, b)
+        assert not joint and all(expected[a] == expected[b] for a, b in found.items())
+        for i, j in zip(*np.nonzero(due), strict=True):
+            if inside or (i < cut) != (j < cut):
+                assert found.get(signed[i], signed[i]) == found.get(signed[j], signed[j])
+    ball = np.unique(own[0] ^ np.array([0, *(1 << k for k in range(20))], np.uint64))
+    assert simhash.linked(ball[:9], ball[9:], True, leaf=4)[2]
 
 
 def test_levels_at_most_double():
