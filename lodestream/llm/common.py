@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import dropped_at_exit, scratch_path, small_batches
+
 #: White space of the word contracts: space and the control characters 9 to 13.  ``bytes.split()`` splits on exactly these.
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -23,6 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return found if found.rdd.getNumPartitions() >= cores else found.repartition(cores)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Like :func:`lodestream.session.written`, in as many buckets by ``keys`` as a shuffle has partitions: joins on them read it where it lies.
+
+    Rows that a shuffle on ``keys`` has dealt out give one file a bucket.  The catalog entry is dropped at once; what is returned keeps the files.
+    """
+    spark = df.sparkSession
+    path, table_name = scratch_path(spark, name), f"lodestream_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with small_batches(spark):
+        df.write.format("parquet").bucketBy(buckets, *keys).option("compression", "zstd").option("path", path).saveAsTable(table_name)
+    dropped_at_exit(spark, path)
+    found = spark.table(table_name)
+    spark.sql(f"DROP TABLE {table_name}")
+    return found
+
+
 def text_or_empty(column: str) -> Column:
     """The text, with null read as the empty string."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -7,12 +7,13 @@ candidates survive.
 
 Not every short window has to be counted.  Each passage is represented by the one of its windows with the smallest hash (the leftmost of
 equals): equal passages choose equal windows, so a repeated passage keeps a repeated representative, and neighbouring passages mostly
-share theirs.  The first level then counts about one window in fourteen.  At the last level a passage represents itself, so
-what survives is exact up to collisions of 64-bit hashes.
+share theirs.  The first level then counts about one window in fourteen.  At the last level a passage represents itself, by a hash of 128
+bits, so what survives is exact.
 
-Only hashes and the texts of documents with candidates move.  Hashes are counted by partial aggregation, which also keeps a frequent one from
-gathering in a task; a hash that is counted once names the one text it comes from by that text's 128-bit key.  A text is handled alike
-wherever it occurs.
+What moves.  Texts are shuffled once, at the start, where equal ones become a single row (copies meet on the map side first), and are written in
+buckets by their 128-bit key.  From then on every level reads the texts, later the fewer ones still alive, where they lie; only hashes and keys
+move.  Hashes are counted by partial aggregation, which also keeps a frequent one from gathering in a task; a hash that is counted
+once names the one text it comes from by its key.  A text counts its hashes once for each time it occurs: copies are told by their number.
 
 Defined results: null and empty texts have no words and nothing to remove; texts shorter than the window lose nothing; a repeated
 row is a repeated text; windows are judged on the input, not on what is left; an empty table gives no rows.
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import byte_values, slices, text_or_empty
+from .common import bucketed, byte_values, slices, text_or_empty
 
 WINDOW = 35
 FIRST = 8
@@ -64,18 +65,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def doubled(hashes: np.ndarray, to: int) -> np.ndarray:
+def doubled(hashes: np.ndarray, to: int, family: int = 0) -> np.ndarray:
     """Hashes of all windows of ``to`` words, built by doubling: a window's hash is made of those of its two halves.
 
-    A length that is no power of two is covered by two overlapping windows of the greatest power of two below it.
+    A length that is no power of two is covered by two overlapping windows of the greatest power of two below it.  Families are independent.
     """
+    even, odd = (np.uint64(m) for m in _multipliers(2 * family + 2)[-2:])
     length, now = 1, hashes
     while length * 2 <= to:
-        now = _mixed(now[:-length] * np.uint64(_multipliers(2)[0]) + _mixed(now[length:])) if len(now) > length else now[:0]
+        now = _mixed(now[:-length] * even + _mixed(now[length:])) if len(now) > length else now[:0]
         length *= 2
     if length < to:
         rest = to - length
-        now = _mixed(now[:-rest] * np.uint64(_multipliers(2)[1]) + _mixed(now[rest:])) if len(now) > rest else now[:0]
+        now = _mixed(now[:-rest] * odd + _mixed(now[rest:])) if len(now) > rest else now[:0]
     return now
 
 
@@ -123,6 +125,20 @@ def _opening(words: list[bytes], length: int, window: int) -> np.ndarray:
     return found[np.unique(chosen)]
 
 
+def among(lone: np.ndarray, lone_second: np.ndarray | None, mine: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+    """Which of ``mine`` are in ``lone``; with seconds, the pairs of both hashes are compared."""
+    order = np.argsort(lone, kind="stable")
+    single = lone[order]
+    at = np.minimum(np.searchsorted(single, mine), len(single) - 1)
+    same = single[at] == mine
+    if second is None or lone_second is None:
+        return same
+    if len(np.unique(single)) == len(single):
+        return same & (lone_second[order][at] == second)
+    pairs = set(zip(lone.tolist(), lone_second.tolist(), strict=True))
+    return np.array([pair in pairs for pair in zip(mine.tolist(), second.tolist(), strict=True)], bool)
+
+
 def _joined_digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -139,13 +155,16 @@ def removed_words(words: int, alive: np.ndarray, window: int) -> np.ndarray:
 KEY = ["k1", "k2"]
 
 
-def _lone(rows: DataFrame) -> DataFrame:
-    """``k1, k2, lone``: of each text the hashes that occur at one place only.  ``rows`` has the key and ``hashes``.
+def _lone(rows: DataFrame, hashes: list[str]) -> DataFrame:
+    """``k1, k2`` and one array for each of ``hashes``: of each text those that occur at one place of the corpus only.
 
-    A hash that one text has twice comes twice in its ``hashes``.  Where the count is one, the least key is the only one.
+    ``rows`` has the key, ``copies`` (how often the text occurs) and arrays of equal length.  A hash that one text has twice comes twice in
+    its arrays.  Where the count is one, the least key is the only one.  Texts with copies can lend no lone hash, so they count two at least.
     """
-    counted = rows.select(*KEY, F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"), *[F.min(k).alias(k) for k in KEY])
-    return counted.filter("n = 1").groupBy(*KEY).agg(F.collect_list("hash").alias("lone"))
+    exploded = rows.select(*KEY, "copies", F.explode(F.arrays_zip(*hashes)).alias("h")).select(*KEY, "copies", "h.*")
+    counted = exploded.groupBy(*hashes).agg(F.sum(F.least("copies", F.lit(2))).alias("n"), *[F.min(k).alias(k) for k in KEY])
+    listed = counted.filter("n = 1").groupBy(*KEY).agg(F.collect_list(F.struct(*hashes)).alias("l"))
+    return listed.select(*KEY, *[F.col(f"l.{h}").alias(h) for h in hashes])
 
 
 def key_of(text: Column) -> list[Column]:
@@ -153,13 +172,14 @@ def key_of(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: ``doc_id, k1, k2, n_words, whole_sha256`` for every row, and ``k1, k2, text, runs`` of the texts with repeated passages.
+def passages(docs: DataFrame, text_col: str = "text", window: int = WINDOW, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
+    """Two tables by text: ``k1, k2, n_words, whole_sha256`` of every text, and ``k1, k2, text, runs`` of those with repeated passages.
 
     ``k1, k2`` are two hashes of a text, its key; ``runs`` holds starts and ends of the runs of repeated passages' first words.
     """
     ladder = levels(window, first)
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).select("*", *key_of(F.col("text")))
+    keyed = docs.select(text_or_empty(text_col).alias("text")).select("text", *key_of(F.col("text")))
+    texts = bucketed(keyed.groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies")), "distinct-texts", KEY)
 
     def open_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,12 +191,11 @@ def passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", wi
                     digests.append(_joined_digest(words))
                     hashes.append(_opening(words, ladder[0], window).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("k1"), rows.column("k2"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(hashes, pa.list_(pa.int64()))],
-                    names=["doc_id", *KEY, "n_words", "whole_sha256", "hashes"],
+                    [*(rows.column(c) for c in (*KEY, "copies")), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(hashes, pa.list_(pa.int64()))],
+                    names=[*KEY, "copies", "n_words", "whole_sha256", "hash"],
                 )
 
-    opened = written(keyed.mapInArrow(open_level, "doc_id long, k1 long, k2 long, n_words long, whole_sha256 string, hashes array<long>"), "texts")
-    summary = opened.drop("hashes")
+    opened = written(texts.mapInArrow(open_level, "k1 long, k2 long, copies long, n_words long, whole_sha256 string, hash array<long>"), "opened-texts")
 
     def close_level(length: int, then: int | None):
         """Drop the passages whose representative at ``length`` occurs once; list the representatives for the next level."""
@@ -185,44 +204,63 @@ def passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", wi
             for batch in batches:
                 for rows in slices(batch, "text"):
                     out: list[tuple] = []
-                    lone = rows.column("lone")
-                    for k, (k1, k2, runs, text) in enumerate(zip(*(rows.column(c).to_pylist() for c in (*KEY, "runs")), byte_values(rows.column("text")), strict=True)):
+                    lone = rows.column("hash")
+                    lone_second = rows.column("second") if then is None else None
+                    for k, (k1, k2, copies, runs, text) in enumerate(zip(*(rows.column(c).to_pylist() for c in (*KEY, "copies", "runs")), byte_values(rows.column("text")), strict=True)):
                         words = text.split()
                         if len(words) < window:
                             continue
                         hashes = word_hashes(words)
                         found, chosen, alive = _candidates(hashes, None if runs is None else _flags(runs, len(words) - window + 1), length, window)
                         if lone[k].is_valid:
-                            single = np.sort(lone[k].values.to_numpy().view(np.uint64))
-                            mine = found[chosen]
-                            at = np.minimum(np.searchsorted(single, mine), len(single) - 1)
-                            alive = alive & (single[at] != mine)
+                            single = lone[k].values.to_numpy().view(np.uint64)
+                            if lone_second is None:
+                                alive = alive & ~among(single, None, found[chosen], None)
+                            else:
+                                alive = alive & ~among(single, lone_second[k].values.to_numpy().view(np.uint64), found[chosen], doubled(hashes, length, 1)[chosen])
                         if not alive.any():
                             continue
-                        following = None
+                        following = second = None
                         if then is not None:
                             found, chosen, _ = _candidates(hashes, alive, then, window)
-                            following = found[np.unique(chosen[alive])].view(np.int64)
-                        out.append((k1, k2, text, _runs(alive), following))
+                            at = np.unique(chosen[alive])
+                            following = found[at].view(np.int64)
+                            second = doubled(hashes, then, 1)[at].view(np.int64) if then == window else None
+                        out.append((k1, k2, copies, text, _runs(alive), following, second))
                     if out:
-                        k1, k2, text, runs, following = zip(*out, strict=True)
+                        k1, k2, copies, text, runs, following, second = (list(c) for c in zip(*out, strict=True))
+                        longs = pa.list_(pa.int64())
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([t.decode() for t in text], pa.string()), pa.array(runs, pa.binary()), pa.array(list(following), pa.list_(pa.int64()))],
-                            names=[*KEY, "text", "runs", "hashes"],
+                            [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(copies, pa.int64()), pa.array([t.decode() for t in text], pa.string()), pa.array(runs, pa.binary()), pa.array(following, longs), pa.array(second, longs)],
+                            names=[*KEY, "copies", "text", "runs", "hash", "second"],
                         )
 
         return step
 
-    rows, texts = opened.select(*KEY, "hashes"), keyed.select(*KEY, "text", F.lit(None).cast("binary").alias("runs"))
+    # the last level compares 128 bits, the others 64
+    if len(ladder) == 1:  # the only level is the last one
+
+        def seconds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    found = [doubled(word_hashes(t.split()), window, 1).view(np.int64) for t in byte_values(part.column("text"))]
+                    firsts = [_opening(t.split(), window, window).view(np.int64) for t in byte_values(part.column("text"))]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*KEY, "copies")), pa.array(firsts, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], names=[*KEY, "copies", "hash", "second"])
+
+        rows = texts.mapInArrow(seconds, "k1 long, k2 long, copies long, hash array<long>, second array<long>")
+    else:
+        rows = opened.select(*KEY, "copies", "hash")
+    state = texts.select(*KEY, "copies", "text", F.lit(None).cast("binary").alias("runs"))
     for length, then in zip(ladder, [*ladder[1:], None], strict=True):
-        # written, so that both sides of the join are plain shuffles and a text with very many copies can be split over tasks
-        lone = written(_lone(rows), f"lone-{length}")
-        judged = texts.join(lone, KEY, "left").select(*KEY, "text", "runs", "lone")
-        state = written(judged.mapInArrow(close_level(length, then), "k1 long, k2 long, text string, runs binary, hashes array<long>"), f"level-{length}")
-        rows, texts = state.select(*KEY, "hashes"), state.select(*KEY, "text", "runs")
+        hashes = ["hash"] if then is not None else ["hash", "second"]
+        lone = written(_lone(rows, hashes), f"lone-{length}")
+        judged = state.select(*KEY, "copies", "text", "runs").join(lone, KEY, "left")
+        step = judged.mapInArrow(close_level(length, then), "k1 long, k2 long, copies long, text string, runs binary, hash array<long>, second array<long>")
+        state = bucketed(step, f"level-{length}", KEY)
         if state.isEmpty():
             break
-    return summary, texts
+        rows = state.select(*KEY, "copies", "hash", "second")
+    return opened.select(*KEY, "n_words", "whole_sha256"), state.select(*KEY, "text", "runs")
 
 
 def _cut(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -248,11 +286,13 @@ def _cut(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for every row."""
-    rows, texts = passages(docs, text_col, id_col, window)
-    cut = written(_cut(texts, window, False).dropDuplicates(KEY), "cut")
-    return rows.join(cut, KEY, "left").select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256")
+    whole, texts = passages(docs, text_col, window)
+    cut = written(_cut(texts, window, False), "cut")
+    judged = written(
+        whole.join(cut, KEY, "left").select(*KEY, "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256")), "judged-texts"
     )
+    rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), *key_of(text_or_empty(text_col))), "rows")
+    return rows.join(judged, KEY).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -260,10 +300,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     A text that loses words becomes its kept words joined by one space; any other text stays as it is.
     """
-    _, texts = passages(docs, text_col, id_col, window)
+    _, texts = passages(docs, text_col, window)
     names = ["_k1", "_k2", "_kept"]
     while set(names) & set(docs.columns):
         names = [n + "_" for n in names]
-    cut = written(_cut(texts, window, True).dropDuplicates(KEY), "cut").select(*[F.col(c).alias(n) for c, n in zip([*KEY, "kept"], names, strict=True)])
+    cut = written(_cut(texts, window, True), "cut").select(*[F.col(c).alias(n) for c, n in zip([*KEY, "kept"], names, strict=True)])
     keyed = docs.withColumns(dict(zip(names, key_of(text_or_empty(text_col)), strict=False)))
     return keyed.join(cut, names[:2], "left").withColumn(text_col, F.coalesce(names[2], text_col)).select(*docs.columns)
