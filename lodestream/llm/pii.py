@@ -1,8 +1,9 @@
 """Personal data in texts, in built-in expressions only.
 
 Regular expressions propose spans, validators confirm them (Luhn for cards, mod-97 for IBANs, number ranges for addresses), and words
-nearby adjust a score.  The contract's four base kinds are confirmed by their validators alone; the kinds this method adds (IBANs
-and social-security numbers) stand or fall with their score.
+nearby raise or lower a score that every span carries.  The contract's four base kinds are kept on their validators alone, whatever their score;
+the kinds this method adds (IBANs, social-security numbers, account numbers that a word announces) stand or fall with it: an account number or a
+social-security number needs a word that speaks for it, an IBAN is given up where the words speak against it.
 
 Matches are leftmost and do not overlap within a kind.  The patterns below find what the plain ones find, written so that matching
 takes time in proportion to the text: runs are possessive, and a run is tried from its beginning only.  A text is cut by the same
@@ -75,38 +76,52 @@ class Kind:
     """One kind of personal data.
 
     ``needs`` is a pattern that any text with a match contains; it spares most texts the search.  ``confirm`` looks at the match.
-    ``base`` is the score of a confirmed match, ``context`` the pattern of the words that raise it by ``lift``; contract kinds have a
-    base score of 1.
+    ``base`` is the score of a confirmed match; ``speaks_for`` is the pattern of the words nearby that raise it by ``LIFT``, ``speaks_against`` of those
+    that lower it by ``LIFT``.  Spans of an ``added`` kind are kept from ``THRESHOLD`` on.
     """
 
     name: str
     pattern: str
     needs: Callable[[Column], Column]
-    confirm: Callable[[Column], Column] | None = None
-    base: float = 1.0
-    context: str = ""
-    lift: float = 0.0
+    confirm: Callable[[Column], Column] | None
+    base: float
+    speaks_for: str
+    speaks_against: str = r"(?i)\b(?:example|sample|dummy|fake|test|beispiel|ejemplo|exemple)"
+    added: bool = False
 
 
+#: What one direction of context is worth.
+LIFT = 0.35
+
 #: The kinds in the order in which spans are listed.
 KINDS = (
-    Kind("email", rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: F.contains(t, F.lit("@"))),
+    Kind("email", rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: F.contains(t, F.lit("@")), None, 0.6, r"(?i)\b(?:e-?mail|contact|write|mailto|kontakt|correo|courriel)"),
     Kind(
         "ip",
         r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
         lambda t: F.contains(t, F.lit(".")),
         lambda m: ~m.rlike(r"(?:^|\.)0*+(?:[3-9][0-9]{2}|2[6-9][0-9]|25[6-9]|[0-9]{4,})(?:\.|$)"),
+        0.5,
+        r"(?i)\b(?:ip|host|server|address|login|from)\b",
+        r"(?i)\b(?:version|release|build|section|v)\b",
+    ),
+    Kind(
+        "card",
+        r"[0-9](?:[\x20-]?+[0-9])++",
+        lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"),
+        lambda m: let(_digits(m), lambda d: F.length(d).between(13, 19) & luhn(d)),
+        0.6,
+        r"(?i)card|visa|credit|debit|karte|tarjeta|carte",
     ),
-    Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), lambda m: let(_digits(m), lambda d: F.length(d).between(13, 19) & luhn(d))),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda m: F.length(_digits(m)).between(9, 15)),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda m: F.length(_digits(m)).between(9, 15), 0.6, r"(?i)phone|\btel\b|call|mobil|\bfax\b|telefon|llame|appel"),
     Kind(
         "iban",
         rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])",
         lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"),
         lambda m: let(F.replace(m, F.lit(" "), F.lit("")), mod97),
-        0.8,
-        r"(?i)iban|account|konto|cuenta|compte|bank",
-        0.2,
+        0.6,
+        r"(?i)iban|account|konto|cuenta|compte|bank|\bbic\b",
+        added=True,
     ),
     Kind(
         "ssn",
@@ -115,7 +130,18 @@ KINDS = (
         lambda m: ~m.rlike("^(?:000|666|9)") & ~F.substring(m, 5, 2).eqNullSafe("00") & ~F.substring(m, 8, 4).eqNullSafe("0000"),
         0.4,
         r"(?i)\bssn\b|social|security|insurance|versicherung|seguro|assur",
-        0.4,
+        r"(?i)\b(?:example|sample|dummy|fake|test|part|model|serial|order|invoice)",
+        added=True,
+    ),
+    Kind(
+        "account",
+        r"(?<![A-Za-z0-9.,+-])[0-9](?:[\x20-]?+[0-9]){7,16}+(?![A-Za-z0-9])(?![\x20.,-][0-9])",
+        lambda t: t.rlike(r"(?i)\b(?:account|acct|konto|kontonummer|cuenta|compte|routing)\b") & t.rlike(r"[0-9](?:[\x20-]?[0-9]){7}"),
+        None,
+        0.3,
+        r"(?i)\b(?:account|acct|konto|kontonummer|cuenta|compte|routing)\b",
+        r"(?i)\b(?:example|sample|dummy|fake|test|order|invoice|isbn|version)",
+        added=True,
     ),
 )
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -154,14 +180,12 @@ def spans_of(text: Column, kind: Kind) -> Column:
             found = F.filter(found, lambda s: confirm(s["text"]))
 
         def score(s: Column) -> Column:
-            if not kind.context:
-                return F.lit(kind.base)
             from_ = F.greatest(s["start"] - NEAR, F.lit(0))
             near = F.concat(F.substring(text, from_ + 1, s["start"] - from_), F.lit(" "), F.substring(text, s["stop"] + 1, F.lit(NEAR)))
-            return F.lit(kind.base) + F.when(near.rlike(kind.context), F.lit(kind.lift)).otherwise(F.lit(0.0))
+            return let(near, lambda n: F.lit(kind.base) + F.when(n.rlike(kind.speaks_for), F.lit(LIFT)).otherwise(F.lit(0.0)) - F.when(n.rlike(kind.speaks_against), F.lit(LIFT)).otherwise(F.lit(0.0)))
 
         out = F.transform(found, lambda s: F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), score(s).alias("score"), s["text"].alias("text")))
-        return out if kind.base >= 1 else F.filter(out, lambda s: s["score"] >= THRESHOLD)
+        return F.filter(out, lambda s: s["score"] >= THRESHOLD) if kind.added else out
 
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     searched = let(matches, lambda m: F.when(F.size(m) > 0, scored(located(m, F.split(text, kind.pattern, -1)))))
@@ -170,6 +194,8 @@ def spans_of(text: Column, kind: Kind) -> Column:
 
 def with_spans(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """Adds an array of ``(kind, start, stop, score, text)``: by kind as listed in ``KINDS``, then by place; places in code points."""
+    if spans_col in docs.columns:
+        raise ValueError(f"there is a column {spans_col!r} already")
     text = text_or_empty(text_col)
     return docs.withColumn(spans_col, F.concat(*[spans_of(text, k) for k in KINDS]))
 
@@ -184,7 +210,7 @@ def _number(spans: Column, kind: str) -> Column:
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts per base kind, the hash of the base spans, and all spans, per document."""
+    """Counts per base kind, the hash of the base spans, all spans, and their scores in hundredths, per document."""
     found = with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")), "_text", "_spans").select("doc_id", "_spans")
     base = F.filter("_spans", lambda s: s["kind"].isin(*BASE_KINDS))
     return found.select(
@@ -192,6 +218,8 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         *[_number(F.col("_spans"), kind).alias(f"n_{kind}") for kind in BASE_KINDS],
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("_spans")).alias("spans"),
+        F.array_join(F.transform("_spans", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",").alias("scores"),
+        *[_number(F.col("_spans"), k.name).alias(f"n_{k.name}") for k in KINDS if k.added],
     )
 
 

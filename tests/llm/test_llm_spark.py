@@ -127,13 +127,24 @@ def test_pii_added_kinds_and_redaction(spark):
         "mail me@x.org or +1 (706) 555-3138, me@x.org",
         None,
         "clean",
+        "for example DE89370400440532013000",
+        "example of an IBAN: DE89370400440532013000",
+        "account no. 12345678 at the bank",
+        "number 12345678 of the bank",
+        "account for order 12345678",
+        "ssn of a test 123-45-6789",
     ]
     docs = docs_of(spark, texts).withColumn("_spans", F.lit("own")).withColumn("spans", F.lit(1))
-    spans = [r["spans"] for r in pii.counted(docs).orderBy("doc_id").collect()]
+    found = pii.counted(docs).orderBy("doc_id").collect()
+    spans = [r["spans"] for r in found]
     assert spans[:4] == ["iban:5:32", "", "ssn:7:18", ""]
+    assert spans[7:] == ["", "iban:20:42", "account:12:20", "", "", ""]
+    assert [r["scores"] for r in found] == ["95", "", "75", "", "60,60,60", "", "", "", "60", "65", "", "", ""]
+    with pytest.raises(ValueError, match="spans"):
+        pii.with_spans(docs)
     clean = pii.redact(docs)
     assert clean.columns == docs.columns
-    assert [r["text"] for r in clean.orderBy("doc_id").collect()] == [
+    assert [r["text"] for r in clean.orderBy("doc_id").collect()][:8] == [
         "IBAN [IBAN] ok",
         texts[1],
         "my ssn [SSN] is",
@@ -141,9 +152,24 @@ def test_pii_added_kinds_and_redaction(spark):
         "mail [EMAIL] or [PHONE], [EMAIL]",
         None,
         "clean",
+        texts[7],
     ]
 
 
+def test_context_raises_and_lowers_the_score_of_every_kind(spark):
+    samples = {"email": "a@b.org", "ip": "10.1.2.3", "card": "4111 1111 1111 1111", "phone": "+1 706 555 3138", "iban": "DE89370400440532013000", "ssn": "123-45-6789", "account": "123456789"}
+    speaks_for = {"email": "write to", "ip": "host", "card": "visa", "phone": "call", "iban": "iban", "ssn": "social", "account": "account"}
+    assert set(samples) == {k.name for k in pii.KINDS}
+    for kind in pii.KINDS:
+        against = "version" if kind.name == "ip" else "sample"
+        far = "x" * (pii.NEAR + 1)
+        texts = [f"{w} {samples[kind.name]}" for w in ("plain", speaks_for[kind.name], against, f"{speaks_for[kind.name]} {against}", f"{speaks_for[kind.name]} {against} {far}")]
+        rows = pii.with_spans(docs_of(spark, texts)).orderBy("doc_id").collect()
+        scores = [next((round(s["score"], 6) for s in r["spans"] if s["kind"] == kind.name), None) for r in rows]
+        expected = [kind.base, kind.base + pii.LIFT, kind.base - pii.LIFT, kind.base, kind.base]
+        assert scores == [round(x, 6) if not kind.added or x >= pii.THRESHOLD else None for x in expected], kind.name
+
+
 def test_ibans_end_where_their_country_says(spark):
     def valid(code, length):
         account = ("7A" * 17)[: length - 4]
