@@ -6,12 +6,18 @@ A block longer than ``SEGMENT`` code points is split: its first record carries s
 identifier, their number and, in the last, the total length.  Spark's text writer puts the records into files, with the blank lines that end
 a record as its line separator, so the archives go wherever Spark can write and are committed like any output.
 
-Reading.  Files are parsed record by record along their content lengths.  Continuations are grouped by origin, put in order of their
-number and checked against the total length; only blocks that were split are shuffled.  Then the chunked framing is decoded and the
+Every row has a serial number, written with its payload and digest before anything else, so the id of a record is known wherever it is
+referred to: ``WARC-Refers-To`` of a revisit is the ``WARC-Record-ID`` of a response, ``WARC-Segment-Origin-ID`` that of a first segment.  The number of
+the page referred to is in a header field of its own.  Spark's text writer gzips a file as a whole, so other readers can stream the
+archives but not seek in them.
+
+Reading.  Files are inflated once and parsed record by record along their content lengths.  Continuations are grouped by origin, put in order of
+their number and checked against the total length; only blocks that were split are shuffled.  Then the chunked framing is decoded and the
 digest verified.  A file holds at most ``RECORDS`` records of bounded length, so no task reads an unbounded file.
 
 Defined results: null and empty pages have the empty payload; repeated rows of one page id count as that page, so all are responses where
-the page is; an empty table writes no records; ids need not be unique or dense.
+the page is; a page without an id is archived without a page header, never referred to, and a response unless a page with an id has its payload; an
+empty table writes no records; ids need not be unique or dense.
 """
 
 from __future__ import annotations
@@ -40,18 +46,21 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def roles(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
-    """``page_id, url, payload, payload_bytes, payload_digest, refers_to``; ``refers_to`` is null for a response.
+    """``serial, page_id, url, payload, payload_bytes, payload_digest, refers_to, refers_serial``; the last two are null for a response.
 
     Digests are counted by partial aggregation; only those that two pages or more share are joined back.
     """
     digested = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")
+        F.monotonically_increasing_id().alias("serial"), F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")
     ).withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    shared = digested.filter(F.col("payload_bytes") >= MIN_SHARED).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+    digested = written(digested, "pages")  # serials are given once
+    known = digested.filter((F.col("payload_bytes") >= MIN_SHARED) & F.col("page_id").isNotNull())
+    shared = known.groupBy("payload_digest").agg(F.min(F.struct("page_id", "serial")).alias("first"), F.max("page_id").alias("last"))
     # written, so that the planner knows its size, and a payload of very many pages can be split over tasks
-    shared = written(shared.filter("first < last").select("payload_digest", "first"), "shared-payloads")
+    shared = written(shared.filter("first.page_id < last").select("payload_digest", "first"), "shared-payloads")
+    later = F.col("page_id") > F.col("first.page_id")
     return digested.join(shared, "payload_digest", "left").select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to")
+        "serial", "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(later, F.col("first.page_id")).alias("refers_to"), F.when(later, F.col("first.serial")).alias("refers_serial")
     )
 
 
@@ -84,11 +93,11 @@ def records(pages: DataFrame) -> DataFrame:
     response = F.concat(http, F.lit("Transfer-Encoding: chunked" + RECORD_END), _chunked(F.col("payload")))
     revisit = F.concat(http, F.lit("Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(RECORD_END))
     block = F.when(F.col("refers_to").isNull(), response).otherwise(revisit)
-    # repeated rows of a page must not share segments: a number of its own for each row
-    whole = pages.select("page_id", "url", "payload_digest", "refers_to", block.alias("block"), F.monotonically_increasing_id().alias("serial"))
+    fields = ("serial", "page_id", "url", "payload_digest", "refers_to", "refers_serial")
+    whole = pages.select(*fields, block.alias("block"))
     cut = whole.select("*", F.ceil(F.length("block") / SEGMENT).cast("int").alias("parts"), F.octet_length("block").alias("total"))
     pieces = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct((i + 1).alias("number"), F.substring("block", i * SEGMENT + 1, F.lit(SEGMENT)).alias("piece")))
-    each = cut.select("page_id", "url", "payload_digest", "refers_to", "serial", "parts", "total", F.explode(pieces).alias("p")).select("*", "p.number", "p.piece")
+    each = cut.select(*fields, "parts", "total", F.explode(pieces).alias("p")).select("*", "p.number", "p.piece")
     first = F.col("number") == 1
     split = F.col("parts") > 1
     header = _lines(
@@ -98,7 +107,8 @@ def records(pages: DataFrame) -> DataFrame:
         ("WARC-Target-URI", F.regexp_replace("url", "[\\r\\n]+", " ")),
         ("WARC-Page-ID", F.col("page_id")),
         ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
-        ("WARC-Refers-To", F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))),
+        ("WARC-Refers-To", F.when(F.col("refers_to").isNotNull(), _uri(F.col("refers_serial"), F.lit(1)))),
+        ("WARC-Refers-To-Page-ID", F.col("refers_to")),
         ("WARC-Profile", F.when(F.col("refers_to").isNotNull(), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         ("WARC-Segment-Number", F.when(split, F.col("number"))),
         ("WARC-Segment-Origin-ID", F.when(~first, _uri(F.col("serial"), F.lit(1)))),
@@ -161,8 +171,8 @@ def payload_of(block: bytes) -> tuple[bytes, int]:
 
 def _fields(header: dict[str, str]) -> tuple[str, int | None, str, int | None]:
     """Type, page (null where the record names none), stated digest and reference of a record."""
-    reference, page = header.get("warc-refers-to"), header.get("warc-page-id")
-    return header["warc-type"], None if page is None else int(page), header["warc-payload-digest"].removeprefix("sha256:"), int(reference[len("<urn:page:") : -1]) if reference else None
+    reference, page = header.get("warc-refers-to-page-id"), header.get("warc-page-id")
+    return header["warc-type"], None if page is None else int(page), header["warc-payload-digest"].removeprefix("sha256:"), None if reference is None else int(reference)
 
 
 def _decoded(kind: str, page: int | None, stated: str, refers_to: int | None, block: bytes) -> tuple:
@@ -174,9 +184,13 @@ def _decoded(kind: str, page: int | None, stated: str, refers_to: int | None, bl
 
 
 _PAYLOAD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-_SEGMENT = pa.schema(
-    [("record_type", pa.string()), ("page_id", pa.int64()), ("digest", pa.string()), ("refers_to", pa.int64()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]
-)
+#: What parsing gives: decoded rows of whole blocks (``number`` is null, ``body`` the payload), and the segments of split ones (``body`` the piece).
+_PARSED = pa.schema(
+    [
+        ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
+        ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("body", pa.binary()),
+    ]
+)
 
 
 def _sql(schema: pa.Schema) -> str:
@@ -198,30 +212,31 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def _scan(spark: SparkSession, path: str, pick, schema: pa.Schema) -> DataFrame:
-    """``pick(header, block)`` gives a row, or None, for each record of the archives under ``path``."""
+def parsed(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
+    """Every record of the archives under ``path`` as one row, from one pass over the files."""
+
+    def row(header: dict[str, str], block: bytes) -> tuple:
+        kind, page, digest, refers_to = _fields(header)
+        if "warc-segment-number" in header:
+            total = header.get("warc-segment-total-length")
+            origin = header.get("warc-segment-origin-id", header["warc-record-id"])
+            return page, None, digest, kind, refers_to, origin, int(header["warc-segment-number"]), int(total) if total else None, block
+        *decoded, body = _decoded(kind, page, digest, refers_to, block)
+        return *decoded, None, None, None, body if with_payload else None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for archive in batch.column("content"):
                 for header, block in parse(archive.as_py()):
-                    if (row := pick(header, block)) is not None:
-                        yield row
+                    yield row(header, block)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").load(path).select("content")
-    return files.mapInArrow(lambda batches: _batches(rows(batches), schema), _sql(schema))
-
+    return files.mapInArrow(lambda batches: _batches(rows(batches), _PARSED), _sql(_PARSED))
 
-def segments(spark: SparkSession, path: str) -> DataFrame:
-    """The records of blocks that were split: type, page, digest, reference, origin, number, total length (of the last) and piece."""
 
-    def pick(header: dict[str, str], block: bytes) -> tuple | None:
-        if "warc-segment-number" not in header:
-            return None
-        total = header.get("warc-segment-total-length")
-        return (*_fields(header), header.get("warc-segment-origin-id", header["warc-record-id"]), int(header["warc-segment-number"]), int(total) if total else None, block)
-
-    return _scan(spark, path, pick, _SEGMENT)
+def segments(records: DataFrame) -> DataFrame:
+    """Of :func:`parsed` the records of blocks that were split: type, page, digest, reference, origin, number, total length (of the last) and piece."""
+    return records.filter("number is not null").select("record_type", "page_id", F.col("payload_digest").alias("digest"), "refers_to", "origin", "number", "total", F.col("body").alias("block"))
 
 
 def reassembled(pieces: DataFrame) -> DataFrame:
@@ -252,23 +267,19 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
     """
     schema = _PAYLOAD if with_payload else pa.schema(list(_PAYLOAD)[:-1])
 
-    def pick(header: dict[str, str], block: bytes) -> tuple | None:
-        return None if "warc-segment-number" in header else shown(_decoded(*_fields(header), block))
-
-    def shown(row: tuple) -> tuple:
-        return row if with_payload else (*row[:-1], b"")
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for *fields, block in zip(*(batch.column(c).to_pylist() for c in ("record_type", "page_id", "digest", "refers_to")), batch.column("block"), strict=True):
-                    yield shown(_decoded(*fields, block.as_py()))
+                    row = _decoded(*fields, block.as_py())
+                    yield row if with_payload else (*row[:-1], None)
 
         for out in _batches(rows(), _PAYLOAD):
             yield out.select(schema.names)
 
-    whole = _scan(spark, path, pick, _PAYLOAD).select(*schema.names)
-    return whole.unionByName(reassembled(segments(spark, path)).mapInArrow(decode, _sql(schema)))
+    records = written(parsed(spark, path, with_payload), "records")  # parsed once, read by both ways
+    whole = records.filter("number is null").withColumnRenamed("body", "payload").select(*schema.names)
+    return whole.unionByName(reassembled(segments(records)).mapInArrow(decode, _sql(schema)))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:

@@ -255,6 +255,24 @@ def test_pages_without_an_id_are_archived(spark):
     assert shown == {(None, "response", None, "short"), (None, "response", None, long), (None, "response", None, ""), (1, "response", None, shared), (2, "revisit", 1, None), (None, "response", None, shared)}
 
 
+def test_every_reference_names_a_record(spark):
+    big = "<p>" + "é" * 40_000
+    rows = [(9, "u", "s" * 200), (4, "u", "s" * 200), (4, "v", "s" * 200), (6, "u", "s" * 200), (1, "u", big), (2, "u", big), (None, "u", big), (3, "u", "t")]
+    path = scratch_path(spark, "warc-references")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), path)
+    headers = [h for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).collect() for h, _ in warc.parse(bytes(f["content"]))]
+    by_id = {h["warc-record-id"]: h for h in headers}
+    assert len(by_id) == len(headers)
+    revisits = [h for h in headers if h["warc-type"] == "revisit"]
+    assert sorted(h["warc-page-id"] for h in revisits) == ["2", "6", "9"]
+    for h in revisits:
+        response = by_id[h["warc-refers-to"]]
+        assert response["warc-type"] == "response" and response["warc-payload-digest"] == h["warc-payload-digest"] and response["warc-page-id"] == h["warc-refers-to-page-id"]
+    for h in headers:
+        if h["warc-type"] == "continuation":
+            assert by_id[h["warc-segment-origin-id"]]["warc-segment-number"] == "1"
+
+
 def test_lost_segments_raise(spark):
     schema = "record_type string, page_id long, digest string, refers_to long, origin string, number int, total long, block binary"
     whole = [("response", 1, "d", None, "o", 1, None, b"ab"), ("continuation", 1, "d", None, "o", 2, 4, b"cd")]
