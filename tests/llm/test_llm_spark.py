@@ -494,14 +494,48 @@ def test_knn_accuracy_and_edges(spark):
     assert [r["score"] for r in none] == [0.5]
 
 
-def test_latent_scores_are_exact_in_blocks():
-    texts = [f"good prose number {i} about things".encode() for i in range(30)] + [f"BAD!! JUNK!! {i}!!".encode() for i in range(30)]
+def test_votes_against_a_plain_nearest_neighbour_search(spark):
+    """Sums in whole numbers, neighbours by a full sort: equal scores however the texts are blocked, ties included."""
+    docs = [r["text"].encode() for r in spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null").orderBy("doc_id").collect()]
+    texts = [*docs, b"", *docs[:20], *[t.encode() for t in EDGE if t]]
     terms = quality_knn.TermCounter()
-    model = quality_knn.fit([terms.terms(t) for t in texts], np.array([1.0] * 30 + [0.0] * 30), dimensions=8)
-    assert np.allclose(model.scores(texts, block=7), model.scores(texts, block=1000))
-    cosines = model.latent(texts) @ model.vectors.T
-    nearest = np.sort(np.argsort(-cosines[0])[:15])
-    assert model.scores(texts[:1])[0] == pytest.approx(1.0) and set(nearest) <= set(range(30)) and model.scores(texts[-1:])[0] == pytest.approx(0.0)
+    learned = [*docs[:60], *docs[:30]]  # copies tie
+    labels = np.array([float(i % 3 == 0) for i in range(len(learned))])
+    model = quality_knn.fit([terms.terms(t) for t in learned], labels, dimensions=16)
+    projection = model.projection.astype(int).tolist()
+
+    def unit(text):
+        at, weights = terms.terms(text)
+        sums = [sum(int(w) * projection[a][d] for a, w in zip(at, weights, strict=True)) for d in range(16)]
+        size = sum(x * x for x in sums) ** 0.5
+        return [round(x / size * quality_knn.UNIT_STEPS) for x in sums]
+
+    sample = [unit(t) for t in learned]
+    assert np.abs(np.array(sample) - model.vectors).max() <= 1
+    expected = []
+    for text in texts[:120]:
+        own = model.latent([text])[0].astype(int).tolist()
+        products = [sum(x * y for x, y in zip(own, v, strict=True)) for v in model.vectors.astype(int).tolist()]
+        nearest = sorted(sorted(range(len(products)), key=lambda i: (-products[i], i))[: quality_knn.NEIGHBOURS])
+        likeness = [max(products[i] / quality_knn.UNIT_STEPS**2, 0.0) ** quality_knn.SHARPNESS + 1e-9 for i in nearest]
+        expected.append(sum(w * labels[i] for w, i in zip(likeness, nearest, strict=True)) / sum(likeness))
+    assert model.scores(texts)[:120].tolist() == pytest.approx(expected, abs=1e-12)
+    alone = [model.scores([t])[0] for t in texts]
+    for block in (1, 7, 256, 1000):
+        assert model.scores(texts, block=block).tolist() == alone
+    assert model.scores(texts[::-1], block=5).tolist() == alone[::-1]
+
+
+def test_knn_reads_no_column_but_the_text(spark):
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(40)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    texts = [f"good plain words number {i}" if i % 2 else f"BAD!! JUNK!! {i}!!" for i in range(60)]
+    docs = docs_of(spark, texts)
+    first = collected(quality_knn.score(docs, labels))
+    other = docs.withColumn("lang", F.lit("xx")).withColumn("score", F.lit(9)).withColumn("label", F.lit(1)).withColumn("at", F.lit(1)).repartition(5)
+    assert collected(quality_knn.score(other, labels)) == first
+    assert all(r["predicted"] == int(r["score"] >= 0.7) == i % 2 for i, r in first.items())
+    lost = quality_knn.score(docs.withColumn("doc_id", F.lit(None).cast("long")), labels).collect()
+    assert len(lost) == 60 and all(r["held_out"] is None for r in lost)
 
 
 @pytest.mark.parametrize("length", [16, 2048])
