@@ -1,10 +1,10 @@
 """Media columns for telephony audio.
 
 Mu-law and A-law samples are expanded by lookup tables, ADPCM blocks are decoded with numpy across blocks (each step of the codec handles
-the same sample of all blocks at once), and audio is stored as resampled PCM in WAV form.
+the same sample of all blocks at once), and audio is stored as resampled PCM in WAV form, beside the coded samples, which are lossless.
 
 Defined results: null and empty texts are stored as one block of padding; a file with an unknown or broken header raises; no samples give
-features of zero.
+features of zero; equal texts give equal files and features; a row without an id is stored like any other; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .common import byte_values, slices
 
 UNIT = 192
 RATE = 8_000
+#: Rate of the PCM that is stored beside the coded samples.
+PCM_RATE = RATE // 2
 #: Format codes of the WAV container (fixed values).
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
 #: Index steps of the IMA ADPCM codec by nibble (fixed values).
@@ -117,6 +119,9 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     """Linear interpolation to another rate, in integers, so that every machine gives the same samples."""
     if rate == to or not len(samples):
         return samples.astype(np.int16)
+    if 2 * to == rate:  # the mean of each two samples
+        wide = samples[: len(samples) // 2 * 2].astype(np.int32).reshape(-1, 2)
+        return (wide.sum(axis=1) >> 1).astype(np.int16)
     if to == 2 * rate:  # each sample and the middle between it and the next
         wide = samples.astype(np.int32)
         out = np.empty(2 * len(samples), np.int16)
@@ -186,18 +191,22 @@ def measured(samples: np.ndarray) -> tuple[int, int, int]:
     return int(np.sqrt(np.dot(wide, wide) // len(wide))), int(np.abs(wide).max()), int(np.count_nonzero(negative[1:] != negative[:-1]))
 
 
-def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT, rate: int = RATE) -> DataFrame:
-    """``doc_id, n_bytes, media``: each text's bytes, padded, as the mu-law samples of a WAV file."""
+def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT, rate: int = RATE, to: int = PCM_RATE) -> DataFrame:
+    """``doc_id, n_bytes, media, pcm``: each text's bytes, padded, as the mu-law samples of a WAV file, and these expanded, as PCM at the rate ``to``."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text"):
                 texts = byte_values(rows.column("text"))
-                media = [wav(padded(t, unit), MULAW, rate, 8, 1) for t in texts]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                payloads = [padded(t, unit) for t in texts]
+                media = [wav(p, MULAW, rate, 8, 1) for p in payloads]
+                pcm = [wav(resample(expand(np.frombuffer(p, np.uint8), MULAW), rate, to).astype("<i2").tobytes(), PCM, to, 16, 2) for p in payloads]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary()), pa.array(pcm, pa.binary())], names=["doc_id", "n_bytes", "media", "pcm"]
+                )
 
     selected = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return selected.mapInArrow(store, "doc_id long, n_bytes long, media binary")
+    return selected.mapInArrow(store, "doc_id long, n_bytes long, media binary, pcm binary")
 
 
 def resampled(media: DataFrame, media_col: str = "media", to: int = 2 * RATE) -> DataFrame:
@@ -222,10 +231,10 @@ def resampled(media: DataFrame, media_col: str = "media", to: int = 2 * RATE) ->
     return media.mapInArrow(convert(media_col), media.schema)
 
 
-def features(media: DataFrame, to: int = 2 * RATE) -> DataFrame:
-    """Reads ``media`` back: payload, hashes, and features of the decoded samples and of their resampled PCM.
+def features(media: DataFrame) -> DataFrame:
+    """Reads ``media`` and ``pcm`` back: payload, hashes, and features of the decoded samples and of the resampled PCM.
 
-    The stored samples are described under each of the codings they could be heard in: mu-law as stored (resampled), A-law, and ADPCM blocks.
+    The coded samples are described under each of the codings they could be heard in: mu-law, A-law, and ADPCM blocks.
     """
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,18 +247,18 @@ def features(media: DataFrame, to: int = 2 * RATE) -> DataFrame:
                 codes = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
                 blocks = decode_adpcm(codes, UNIT)
                 at = 0
-                for media_file, (code, rate, _, payload) in zip(files, parts, strict=True):
+                for media_file, pcm_file, (code, _, _, payload) in zip(files, byte_values(rows.column("pcm")), parts, strict=True):
                     count = len(payload) // UNIT
                     own = np.frombuffer(payload, np.uint8)
-                    linear = expand(own, code)
-                    pcm = resample(linear, rate, to)
+                    pcm, _ = samples_of(pcm_file)
                     described = {
                         "pcm": measured(pcm),
+                        "mulaw": measured(expand(own, code)),
                         "alaw": measured(expand(own, ALAW)),
                         "adpcm": measured(blocks[at : at + count].ravel()),
                     }
                     at += count
-                    text = ";".join(f"{k}={r},{p},{z}" for k, (r, p, z) in described.items()) + f";crc={zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
+                    text = ";".join(f"{k}={r},{p},{z}" for k, (r, p, z) in described.items()) + f";crc={zlib.crc32(pcm_file):08x}"
                     out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media_file), hashlib.sha256(media_file).hexdigest(), text))
                 columns = list(zip(*out, strict=True)) if out else [[]] * 6
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -190,15 +190,59 @@ def test_ibans_end_where_their_country_says(spark):
     assert clean == "[IBAN] Thank you"
 
 
+def brute_mulaw(code):
+    code = ~code & 0xFF
+    size = ((((code & 15) << 3) + 132) << ((code >> 4) & 7)) - 132
+    return -size if code & 128 else size
+
+
+def brute_alaw(code):
+    code ^= 0x55
+    low, segment = (code & 15) << 4, (code >> 4) & 7
+    size = low + 8 if segment == 0 else (low + 264) << (segment - 1)
+    return size if code & 128 else -size
+
+
+def brute_adpcm(payload):
+    """One block after the other, one nibble after the other."""
+    out = []
+    for at in range(0, len(payload), 192):
+        block = payload[at : at + 192]
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        out.append(value)
+        for byte in block[4:]:
+            for nibble in (byte & 15, byte >> 4):
+                step = audio.STEP_SIZES[index]
+                gap = (step >> 3) + (step >> 2) * (nibble & 1) + (step >> 1) * (nibble >> 1 & 1) + step * (nibble >> 2 & 1)
+                value = max(-32768, min(32767, value - gap if nibble & 8 else value + gap))
+                index = max(0, min(88, index + audio.INDEX_STEPS[nibble & 7]))
+                out.append(value)
+    return out
+
+
+def brute_measures(samples):
+    return f"{int((sum(x * x for x in samples) // len(samples)) ** 0.5)},{max(map(abs, samples))},{sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:], strict=False))}"
+
+
 def test_media_round_trip(spark):
     docs, texts = planted(spark)
-    media = audio.media_column(docs)
+    docs = docs.withColumn("media", F.lit("own")).withColumn("pcm", F.lit("own")).withColumn("n_bytes", F.lit("own"))
+    media = written(audio.media_column(docs), "media")
     found = collected(audio.features(media))
+    stored = collected(media)
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
         row = found[i]
         assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"], row["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        if len(payload) > 20_000:
+            continue
+        linear = [brute_mulaw(c) for c in payload]
+        pcm = [(a + b) >> 1 for a, b in zip(linear[::2], linear[1::2], strict=True)]
+        samples, rate = audio.samples_of(bytes(stored[i]["pcm"]))
+        assert rate == 4_000 and samples.tolist() == pcm
+        parts = {"pcm": pcm, "mulaw": linear, "alaw": [brute_alaw(c) for c in payload], "adpcm": brute_adpcm(payload)}
+        assert row["feature"] == ";".join(f"{k}={brute_measures(v)}" for k, v in parts.items()) + f";crc={zlib.crc32(bytes(stored[i]['pcm'])):08x}"
     assert found[5]["feature"] == found[6]["feature"] and found[5]["media_sha256"] == found[6]["media_sha256"]
     pcm = audio.resampled(media).filter("doc_id = 3").first()["media"]
     samples, rate = audio.samples_of(pcm)
