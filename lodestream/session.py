@@ -53,14 +53,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet to the shared folder and read it back.
 
-    Unlike a cache this survives the loss of executors, and later stages see file sizes and statistics.
+    Unlike a cache this survives the loss of executors, and later stages see file sizes and statistics.  ``level`` is that of the compression.
     """
     path = scratch_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     dropped_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
