@@ -27,7 +27,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import audio
 
-    return audio.features(written(audio.media_column(table(spark, sf_dir, "documents")), "media"))
+    return audio.features(written(audio.media_column(table(spark, sf_dir, "documents")), "media", level=9))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
