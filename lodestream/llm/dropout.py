@@ -123,12 +123,14 @@ class DropoutEncoder:
     def _tables(self) -> None:
         """Every pair of pieces whose merge is a piece, as a sorted array of codes."""
         ids, rank = self.pieces.id, self.pieces.rank
+        if max(ids.values(), default=0) >= 1 << 16:
+            raise ValueError("pairs are kept in 32 bits: a vocabulary of over 65,536 pieces needs wider codes")
         found = [(ids[a] << 16 | ids[b], ids[p], rank[p]) for p in ids for k in range(1, len(p)) if (a := p[:k]) in ids and (b := p[k:]) in ids]
         found.sort()
         codes, made, ranks = zip(*found, strict=True)
         self.made, self.ranks = np.array([*made, -1], np.int32), np.array([*ranks, _NONE], np.int32)
         # open addressing keyed by the pair
-        bits = 20
+        bits = max(20, (2 * len(codes)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         codes = np.array(codes, np.uint64)
         self.slot_code = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64)

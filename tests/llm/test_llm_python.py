@@ -95,6 +95,15 @@ def test_every_occurrence_of_a_word_draws_for_itself():
     assert len(forms) == 2000 and len(set(forms)) > 40
 
 
+def test_a_vocabulary_that_codes_cannot_hold_is_refused():
+    from types import SimpleNamespace
+
+    own = object.__new__(dropout.DropoutEncoder)
+    own.pieces = SimpleNamespace(id={str(k): k for k in range((1 << 16) + 1)}, rank={})
+    with pytest.raises(ValueError, match="65,536"):
+        own._tables()
+
+
 def test_remembered_branches_change_no_segmentation():
     path = vocabulary("piece_bpe_32k.model")
     rnd = random.Random(3)

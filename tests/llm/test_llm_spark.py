@@ -614,6 +614,33 @@ def test_packing(spark, length):
     assert crc["ids_crc32"] >= 0
 
 
+def test_rows_without_an_id_and_clashing_columns(spark):
+    """Rows without an id have results like others; columns named like a result or a helper change nothing."""
+    texts = [t for t in EDGE if t is None or len(t) < 1000] + ["write to a@b.org", "word " * 60]
+    rows = [(i % 7 or None, t, "en", "s", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    names = "n_bytes n_tokens fits prefix_tokens ids lossless start length ids_crc32 doc_tokens sequence_id offset n_words n_removed kept_sha256 k1 k2 copies hash second runs kept quality base_failed fp component_id root spans scores media pcm score".split()
+    clashing = docs.select("*", *[F.lit("own").alias(n) for n in names])
+    pieces, words = vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json")
+    operators = {
+        "pii": lambda d: pii.counted(d),
+        "media": lambda d: audio.features(audio.media_column(d)),
+        "tokens": lambda d: token_counts.token_counts(d, pieces).select("doc_id", "n_bytes", "n_tokens"),
+        "substrings": lambda d: substrings.summary(d),
+        "simhash": lambda d: simhash.near_duplicates(d),
+        "dropout": lambda d: dropout.encoded(d, pieces),
+        "rules": lambda d: quality_rules.score(d),
+        "packing": lambda d: packing.with_crc(packing.pack(d.coalesce(1), words)),
+    }
+    for name, operator in operators.items():
+        plain, other = (sorted(map(repr, operator(d).collect())) for d in (docs, clashing))
+        assert plain == other and sum("doc_id=None" in r for r in plain) >= 2, name
+    for operator in (pii.redact, substrings.removed, simhash.representatives, quality_rules.kept):
+        after = operator(clashing)
+        assert after.columns == clashing.columns
+        assert sorted(r["text"] or "" for r in after.collect()) == sorted(r["text"] or "" for r in operator(docs).collect())
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs, texts = planted(spark)
