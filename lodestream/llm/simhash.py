@@ -298,18 +298,20 @@ def links(distinct: DataFrame, run: int = RUN, leaf: int = LEAF) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, leaf: int = LEAF, keys: dict[str, Column] | None = None) -> DataFrame:
-    """``doc_id, fp, component_id, root``, one row per row of ``docs``.
+    """``doc_id, fp, component_id``, one row per row of ``docs``; ``component_id`` is the smallest id in the component.
 
-    ``component_id`` is the smallest id in the component, ``root`` its smallest fingerprint; ``keys`` are long columns to carry along.
+    ``keys`` are long columns to carry along; with them comes ``first``, the least row ``(lost, doc_id, *keys)`` of the component, in which
+    ``lost`` says that it has no id.
     """
+    row = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", *(keys or {}))
     marked = written(fingerprints(docs, id_col, text_col, keys=keys), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    distinct = written(marked.groupBy("fp").agg(F.min(row).alias("first")), "distinct-fingerprints")
     found = roots(links(distinct.select("fp"), run, leaf))
     rooted = distinct.join(found.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
-    least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    placed = rooted.join(least, "root").select("fp", "component_id", "root")
-    return marked.join(placed, "fp").select("doc_id", "fp", "component_id", "root", *(keys or {}))
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("first")), "least")
+    placed = rooted.select("fp", "root").join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"), *(["first"] if keys else []))
+    return marked.join(placed, "fp").select("doc_id", "fp", "component_id", *(["first"] if keys else []), *(keys or {}))
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -323,22 +325,30 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     different components are different documents.
     """
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)]
-    names = ["_k1", "_k2"]
-    while set(names) & set(docs.columns):
-        names = [n + "_" for n in names]
+    used, tail = {c.lower() for c in docs.columns}, ""
+    while used & {f"_{n}{tail}" for n in ("k1", "k2", "k1r", "k2r", "id")}:
+        tail += "_"
+    names, others, own = [f"_k1{tail}", f"_k2{tail}"], [f"_k1r{tail}", f"_k2r{tail}"], f"_id{tail}"
     keys = dict(zip(names, (F.xxhash64(text_col), F.xxhash64(*hashed)), strict=True))
     found = near_duplicates(docs, id_col, text_col, keys=keys)
     row = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", *names)
-    counted = written(found.groupBy("root", "doc_id", *names).agg(F.count("*").alias("n")), "rows")
-    chosen = counted.groupBy("root").agg(F.min(row).alias("chosen"))
-    judged = counted.join(chosen, "root").select(F.col("doc_id").alias("_id"), *names, "n", (row == F.col("chosen")).alias("stays"))
+    found = written(found.select("doc_id", *names, (row == F.col("first")).alias("stays")), "places")
+    by_id = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("stays").alias("stays"))
     # what goes is far less than what stays; its size is known once it is written, and the planner broadcasts it or not
-    odd = written(judged.filter("n > 1 or not stays"), "odd-rows")
-    listed = odd.select(F.col("_id"), *[F.col(n).alias(f"{n}r") for n in names], "stays")
-    keyed = docs.withColumns(keys)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col(names[0]) == F.col(f"{names[0]}r")) & (F.col(names[1]) == F.col(f"{names[1]}r"))
-    once = keyed.join(listed, same, "left_anti").select(*docs.columns)
-    repeated = listed.filter("stays")
+    odd = written(by_id.filter("n > 1 or doc_id is null or not stays").select(F.col("doc_id").alias(own), "n", "stays"), "odd-ids")
+    own_id = F.col(id_col).cast("long")
+    gone = odd.filter((F.col("n") == 1) & F.col(own).isNotNull()).select(own)
+    several = odd.filter((F.col("n") > 1) | F.col(own).isNull()).select(own)
+    rest = docs.join(gone, own_id == F.col(own), "left_anti")
+    if several.isEmpty():
+        return rest.select(*docs.columns)
+    # ids that are shared or missing: the row decides
+    rows = found.join(several, found["doc_id"].eqNullSafe(F.col(own)), "left_semi").groupBy("doc_id", *names).agg(F.count("*").alias("n"), F.max("stays").alias("stays"))
+    listed = written(rows.filter("n > 1 or not stays").select(F.col("doc_id").alias(own), *[F.col(n).alias(o) for n, o in zip(names, others, strict=True)], "stays"), "odd-rows")
+    keyed = rest.withColumns(keys)
+    same = own_id.eqNullSafe(F.col(own)) & (F.col(names[0]) == F.col(others[0])) & (F.col(names[1]) == F.col(others[1]))
+    once = keyed.join(listed.drop("stays"), same, "left_anti").select(*docs.columns)
+    repeated = listed.filter("stays").drop("stays")
     if repeated.isEmpty():
         return once
     return once.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(names).select(*docs.columns))

@@ -413,8 +413,8 @@ def test_the_index_keeps_every_link_and_prunes(spark):
 def test_one_row_of_each_component_stays(spark):
     docs, texts = planted(spark)
     _, root = brute_components(texts)
-    kept = simhash.representatives(docs.union(docs).withColumn("fp", F.lit("own")).withColumn("_k1", F.lit("own")))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root)) and kept.columns[-2:] == ["fp", "_k1"]
+    kept = simhash.representatives(docs.union(docs).withColumn("fp", F.lit("own")).withColumn("_k1", F.lit("own")).withColumn("_id", F.lit("own")).withColumn("stays", F.lit(1)))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root)) and kept.columns[-4:] == ["fp", "_k1", "_id", "stays"]
     long = [" ".join(f"{p}{i}" for i in range(80)) for p in "abcde"]
     # ids that different texts share, and rows without an id, are told apart by their texts
     rows = [(7, long[0]), (7, long[1]), (None, long[2]), (None, long[2]), (None, long[3]), (9, long[3]), (8, long[0]), (None, long[4]), (7, long[0])]
