@@ -124,6 +124,30 @@ def month_name(number) -> Column:
 # --- times
 
 
+def now_time(zone: str | None = None) -> Column:
+    """The time now as HHMM, in the session's zone or another."""
+    return time_of(_now(zone))
+
+
+def now(zone: str | None = None) -> Column:
+    """The date and time now as YYYYMMDDHHMM."""
+    return number_of(_now(zone))
+
+
+def now_text(pattern: str = "MM/dd/yyyy h:mm a", zone: str | None = None) -> Column:
+    return F.date_format(_now(zone), pattern)
+
+
+def _now(zone: str | None) -> Column:
+    moment = F.current_timestamp()
+    return F.convert_timezone(F.current_timezone(), F.lit(zone), moment.cast("timestamp_ntz")) if zone else moment
+
+
+def in_zone(number, of: str, to: str) -> Column:
+    """A date-time of one zone as that of another."""
+    return number_of(F.convert_timezone(F.lit(of), F.lit(to), stamp(number)))
+
+
 def time_of(stamp) -> Column:
     """HHMM of a timestamp."""
     return (F.hour(_c(stamp)) * 100 + F.minute(_c(stamp))).cast("int")

@@ -137,6 +137,35 @@ def put(text, key: str, value) -> Column:
     return F.to_json(F.when(_c(value).isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit(key), F.parse_json(F.coalesce(_c(value), F.lit("null")))))))
 
 
+def increment(text, key: str, by: int = 1) -> Column:
+    """The object with a number raised; a missing one counts from 0, anything else is an error."""
+    old = get(text, f"{key}", "bigint")
+    broken = has_key(text, key) & old.isNull()
+    return F.when(broken, F.raise_error(f"{key} is no whole number").cast("string")).otherwise(put(text, key, (F.coalesce(old, F.lit(0)) + by).cast("string")))
+
+
+def accumulate(text, key: str, value) -> Column:
+    """The object with a value added: alone at first, then in an array with those before it; ``value`` is JSON text."""
+    old, new = F.get_json_object(_c(text), json_path(key)), _c(value)
+    raw = F.to_json(F.try_variant_get(F.try_parse_json(_c(text)), json_path(key), "variant"))
+    inner = F.regexp_replace(F.regexp_replace(raw, r"^\[", ""), r"\]$", "")
+    many = F.when(F.json_array_length(raw).isNotNull(), F.concat(F.lit("["), F.when(inner == "", new).otherwise(F.concat(inner, F.lit(","), new)), F.lit("]"))).otherwise(F.concat(F.lit("["), raw, F.lit(","), new, F.lit("]")))
+    return put(text, key, F.when(old.isNull(), new).otherwise(many))
+
+
+def append(text, key: str, value) -> Column:
+    """The object with a value added to the array of that name, which is made where it is missing; another kind of member is an error."""
+    raw = F.to_json(F.try_variant_get(F.try_parse_json(_c(text)), json_path(key), "variant"))
+    broken = has_key(text, key) & F.json_array_length(raw).isNull()
+    first = F.when(has_key(text, key), _c(text)).otherwise(put(text, key, F.lit("[]")))
+    return F.when(broken, F.raise_error(f"{key} is no array").cast("string")).otherwise(accumulate(first, key, value))
+
+
+def equal(one, other) -> Column:
+    """Whether two JSON texts are the same value: members in any order, elements in theirs; null where either is no JSON."""
+    return F.to_json(F.try_parse_json(_c(one))) == F.to_json(F.try_parse_json(_c(other)))
+
+
 def put_once(text, key: str, value) -> Column:
     """As :func:`put`, but an error where the object has the member."""
     return F.when(has_key(text, key), F.raise_error(f"duplicate key {key}").cast("string")).otherwise(put(text, key, value))

@@ -79,6 +79,17 @@ def split(s, pattern: str) -> Column:
     return F.when(is_empty(s), F.array().cast("array<string>")).otherwise(F.slice(parts, F.lit(1), last))
 
 
+def printf(pattern: str, *values) -> Column:
+    """Values in a pattern of ``%`` fields, as the JVM formats them."""
+    return F.format_string(pattern, *[v if isinstance(v, Column) else F.col(v) for v in values])
+
+
+def could_be_binary(text) -> Column:
+    """Whether a text can be Base64: only its alphabet, in whole groups of four."""
+    t = F.regexp_replace(text if isinstance(text, Column) else F.col(text), r"[\r\n]", "")
+    return F.coalesce(t.rlike(r"^[A-Za-z0-9+/]*={0,2}$") & (F.length(t) % 4 == 0) & (F.length(t) > 0), F.lit(False))
+
+
 def html_to_text(s) -> Column:
     """Line breaks for ``<br>``, a space for any other tag, plain quotation marks, decoded entities; null as empty."""
     text = F.regexp_replace(F.coalesce(_c(s), F.lit("")), "<br *[^>]*>", "\n")

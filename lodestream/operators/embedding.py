@@ -33,14 +33,27 @@ class HashingEmbedder:
 
     def __init__(self, dimension: int = 768):
         self.dimension = dimension
+        self._known: dict[str, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return {"dimension": self.dimension, "_known": {}}
+
+    def _places(self, word: str) -> np.ndarray:
+        """Of a word's terms the places, those that count negatively moved up by the dimension."""
+        terms = [word, *(f"#{word[k : k + 3]}" for k in range(max(0, len(word) - 2)))]
+        hashes = np.array([zlib.crc32(t.encode("utf-8", "replace")) for t in terms], np.int64)
+        found = (hashes >> 1) % self.dimension + np.where(hashes & 1, 0, self.dimension)
+        if len(self._known) < 200_000 and len(word) < 64:
+            self._known[word] = found
+        return found
 
     def _vector(self, text: str) -> np.ndarray:
-        out = np.zeros(self.dimension, np.float32)
-        for word in text.lower().split():
-            terms = [word, *(f"#{word[k : k + 3]}" for k in range(max(0, len(word) - 2)))]
-            for term in terms:
-                h = zlib.crc32(term.encode("utf-8", "replace"))
-                out[(h >> 1) % self.dimension] += 1.0 if h & 1 else -1.0
+        known = self._known
+        parts = [known[w] if w in known else self._places(w) for w in text.lower().split()]
+        if not parts:
+            return np.zeros(self.dimension, np.float32)
+        counts = np.bincount(np.concatenate(parts), minlength=2 * self.dimension)
+        out = (counts[: self.dimension] - counts[self.dimension :]).astype(np.float32)
         size = float(np.linalg.norm(out))
         return out / size if size else out
 

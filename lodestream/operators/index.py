@@ -1,15 +1,17 @@
 """The incremental index of a project: scan, compare by content hash, chunk and embed what changed, commit one new snapshot.
 
 The comparison comes before the costly steps, so an unchanged file costs its hash alone.  Ids are hashes of what they identify; they are the
-same on every machine and need no counter.  A snapshot is either complete or not there, so a failed sweep changes nothing.
+same on every machine and need no counter.  Files and chunks change by one commit that names a version of each, so a failed sweep changes nothing.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import threading
 import time
-from contextlib import contextmanager
+import uuid
+from contextlib import contextmanager, nullcontext
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +47,7 @@ def actions(existing: DataFrame, found: DataFrame) -> DataFrame:
 class Index:
     """One project's tables under ``folder/<project>``."""
 
-    def __init__(self, spark: SparkSession, folder: str, project: str, settings: Settings | None = None, model: Embedder | None = None, buckets: int = 16):
+    def __init__(self, spark: SparkSession, folder: str, project: str, settings: Settings | None = None, model: Embedder | None = None, buckets: int = 128):
         if not is_valid_name(project):
             raise ValueError(f"project name {project!r} does not match [a-z][a-z0-9_]*")
         self.spark, self.project = spark, project
@@ -56,6 +58,48 @@ class Index:
         self.files = SnapshotTable(spark, f"{self.folder}/files", FILE, keys=["file_id"], buckets=buckets)
         self.chunks = SnapshotTable(spark, f"{self.folder}/chunks", CHUNK, keys=["file_id"], buckets=buckets)
         self.meta = SnapshotTable(spark, f"{self.folder}/meta", META)
+        self.files.pin = lambda: self._committed().get("files")
+        self.chunks.pin = lambda: self._committed().get("chunks")
+
+    # --- one commit for both tables
+
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def _commits(self) -> list[int]:
+        fs, folder = self._fs(f"{self.folder}/commits")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _committed(self) -> dict[str, int]:
+        """The versions of files and chunks that belong together; empty before the first commit."""
+        numbers = self._commits()
+        if not numbers:
+            return {}
+        fs, where = self._fs(f"{self.folder}/commits/{numbers[-1]}.json")
+        stream = fs.open(where)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, chunks: int, files: int) -> None:
+        """Make new versions of both tables count, by one rename; until then readers see the old ones of both."""
+        numbers = self._commits()
+        after = (numbers or [0])[-1] + 1
+        fs, draft = self._fs(f"{self.folder}/commits/_draft-{uuid.uuid4().hex}")
+        stream = fs.create(draft)
+        try:
+            stream.write(bytearray(json.dumps({"chunks": chunks, "files": files}).encode()))
+        finally:
+            stream.close()
+        _, final = self._fs(f"{self.folder}/commits/{after}.json")
+        if fs.exists(final) or not fs.rename(draft, final):
+            fs.delete(draft, False)
+            raise RuntimeError(f"another writer made commit {after} of {self.project}")
+        for number in numbers[:-2]:
+            fs.delete(self._fs(f"{self.folder}/commits/{number}.json")[1], False)
 
     def bootstrap(self) -> bool:
         """Create what is missing; True if the project has never been scanned.  Existing meta values win over the seed."""
@@ -71,35 +115,39 @@ class Index:
 
     @contextmanager
     def lock(self):
-        """A file made exclusively, in the project's folder (local or mounted)."""
-        path = self.folder.removeprefix("file:") + "/.lock"
-        os.makedirs(os.path.dirname(path), exist_ok=True)
+        """A file made exclusively in the project's folder, through the file system that the folder is on."""
+        fs, path = self._fs(f"{self.folder}/.lock")
+        fs.mkdirs(path.getParent())
         try:
-            os.close(os.open(path, os.O_CREAT | os.O_EXCL))
-        except FileExistsError:
-            raise Busy(self.project) from None
+            made = fs.createNewFile(path)
+        except Exception:  # noqa: BLE001  a file system may raise where another returns false
+            if not fs.exists(path):
+                raise
+            made = False
+        if not made:
+            raise Busy(self.project)
         try:
             yield
         finally:
-            os.unlink(path)
+            fs.delete(path, False)
 
     def break_lock(self) -> None:
         """Drop a lock that a crashed process left."""
-        path = self.folder.removeprefix("file:") + "/.lock"
-        if os.path.exists(path):
-            os.unlink(path)
+        fs, path = self._fs(f"{self.folder}/.lock")
+        if fs.exists(path):
+            fs.delete(path, False)
 
     def _verify(self) -> None:
         stated = self.meta_values().get("embedding_dim")
         if stated is not None and int(stated) != self.model.dimension:
             raise ValueError(f"the index has vectors of dimension {stated}, the model gives {self.model.dimension}")
 
-    def sweep(self, project: Project, full: bool = False) -> dict:
+    def sweep(self, project: Project, full: bool = False, locked: bool = False) -> dict:
         """Bring the index up to date; returns the counters that are also stored as ``last_sweep``.
 
         Where a root cannot be read nothing is deleted for it.  A file that has become binary or blank loses its chunks and counts as deleted.
         """
-        with self.lock():
+        with nullcontext() if locked else self.lock():
             self.bootstrap()
             self._verify()
             began = time.time()
@@ -124,8 +172,7 @@ class Index:
         counts = {r["action"]: r["count"] for r in planned.groupBy("action").count().collect()}
         made = fresh.count()
         if made or full or counts.get("delete") or counts.get("insert") or counts.get("update"):
-            self.chunks.merge(gone, fresh)
-            self.files.merge(gone, rows)
+            self._commit(self.chunks.merge(gone, fresh), self.files.merge(gone, rows))
         stats = {
             "scanned": len(listing.files),
             "skipped": listing.skipped + len(listing.files) - sum(counts.get(a, 0) for a in ("insert", "update", "unchanged")),
@@ -150,13 +197,14 @@ class Index:
         files = self.files.read()
         gone = files.filter(F.col("repo") == repo).select("file_id")
         n = gone.count()
-        self.chunks.delete(gone)
-        self.files.delete(gone)
+        self._commit(self.chunks.delete(gone), self.files.delete(gone))
         return n
 
     def drop(self) -> None:
         for table in (self.chunks, self.files, self.meta):
             table.drop()
+        fs, commits = self._fs(f"{self.folder}/commits")
+        fs.delete(commits, True)
 
     def status(self) -> dict:
         files, chunks = self.files.read(), self.chunks.read()
@@ -191,8 +239,10 @@ class Catalog:
         return Index(self.spark, self.folder, name, self.settings, self.model)
 
     def stored(self) -> list[str]:
-        path = self.folder.removeprefix("file:")
-        return sorted(d for d in os.listdir(path) if is_valid_name(d) and os.path.isdir(f"{path}/{d}/files")) if os.path.isdir(path) else []
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(d for d in names if is_valid_name(d) and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{d}/files")))
 
     def never_scanned(self) -> list[str]:
         return [n for n in self.projects.names if self.index(n).bootstrap()]
@@ -209,6 +259,30 @@ class Catalog:
                 out[name] = {"error": str(e)}
         return out
 
+    def reindex_async(self, name: str, full: bool = False) -> threading.Thread:
+        """Start a sweep and return at once; :class:`Busy` if one is running.  The outcome is what the meta table says afterwards."""
+        index = self.index(name)
+        project = self.projects.get(name)
+        held = index.lock()
+        held.__enter__()
+
+        def run() -> None:
+            try:
+                index.sweep(project, full, locked=True)
+            finally:
+                held.__exit__(None, None, None)
+
+        thread = threading.Thread(target=run, name=f"sweep-{name}", daemon=True)
+        thread.start()
+        return thread
+
+    def plan_text(self, execute: bool = False) -> str:
+        """What differs between configuration and stored projects, one line each, as a proposal or as what was done."""
+        words = {"drop": "drop project {project} ({n_files} files)", "create": "create project {project}", "delete_repo": "delete {repo} of {project} ({n_files} files)", "add_repo": "index {repo} of {project} with its next sweep"}
+        rows = self.reconcile(execute)
+        head = ("Done:" if execute else "Would do:") if rows else "Nothing differs."
+        return "\n".join([head, *(f"  {words[r['action']].format(**r)}" for r in rows)])
+
     def list_projects(self) -> list[dict]:
         return [{"project": n, "files": self.index(n).files.read().count(), "chunks": self.index(n).chunks.read().count()} for n in self.projects.names]
 

@@ -74,12 +74,17 @@ def filtered(files: DataFrame, repo: str | None = None, language: str | None = N
 def search(files: DataFrame, chunks: DataFrame, query: Sequence[float], k: int | None = None, repo: str | None = None, language: str | None = None, path_prefix: str | None = None, roots: Sequence[str] = ()) -> DataFrame:
     """The chunks nearest to a query vector: ``chunk_id, repo, path, absolute_path, start_line, end_line, symbol, score, snippet``.
 
-    Files are far fewer than chunks; whether their side is broadcast is left to the planner, which knows its size.  Contents are joined to the
-    best rows only after these are chosen.
+    Files are far fewer than chunks; whether their side is broadcast is left to the planner, which knows its size.  At most ``MOST`` rows, those found,
+    come to the driver; their contents are then looked up.
     """
     chosen = filtered(files, repo, language, path_prefix).select("file_id", "repo", "path")
-    best = top_k(chunks.select("chunk_id", "file_id", "start_line", "end_line", "symbol", "embedding", "content").join(chosen, "file_id"), query, clamped(k))
-    hits = best.select(
+    # the scan reads no contents; the few best rows are then looked up by id, a filter that reaches the scan
+    best = top_k(chunks.select("chunk_id", "file_id", "start_line", "end_line", "symbol", "embedding").join(chosen, "file_id"), query, clamped(k)).drop("embedding")
+    rows = best.collect()
+    found = chunks.sparkSession.createDataFrame(rows, best.schema)
+    contents = chunks.filter(F.col("chunk_id").isin([r["chunk_id"] for r in rows])).select("chunk_id", "content")
+    rank = F.when(F.isnan("sim"), F.lit(-2.0)).otherwise(F.col("sim"))
+    hits = found.join(contents, "chunk_id").orderBy(rank.desc(), "chunk_id").select(
         "chunk_id", "repo", "path", absolute_path(F.col("repo"), F.col("path"), roots).alias("absolute_path"), "start_line", "end_line", "symbol", score(F.col("sim")).alias("score"), snippet(F.col("content")).alias("snippet")
     )
     return hits

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
-from datetime import date, datetime
+from datetime import date, datetime, time, timezone
+from zoneinfo import ZoneInfo
 from decimal import Decimal
 from typing import Any
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import SnapshotTable
 from .builder import QueryBuilder
+from . import statements
 from .graph import RelationGraph
 
 
@@ -25,6 +28,7 @@ class Database:
         self.primary_keys = {t.lower(): [c.lower() for c in cols] for t, cols in (primary_keys or {}).items()}
         self.stores: dict[str, SnapshotTable] = {}
         self.delete_callback: Callable[[str, Any], None] | None = None
+        self.read_only = False
 
     # --- reading
 
@@ -73,6 +77,42 @@ class Database:
     def cursor(self, text: str, *params: Any, limit: int | None = None, page: int | None = None) -> Iterator[Row]:
         return self._chosen(text, params, limit, page).toLocalIterator()
 
+    def cursor_with_count(self, text: str, *params: Any) -> tuple[int, Iterator[Row]]:
+        """The number of rows and the rows themselves."""
+        return self.fetch_count(text, *params), self.cursor(text, *params)
+
+    # --- changing
+
+    def execute(self, text: str, *params: Any) -> int:
+        """INSERT, UPDATE or DELETE on an attached table; returns the number of rows.  Each statement is one new version, complete or not there."""
+        if self.read_only:
+            raise PermissionError("the database is read-only")
+        s = statements.parse(text)
+        if s.table not in self.stores:
+            raise KeyError(f"no attached table {s.table}")
+        self.refresh(s.table)
+        store = self.stores[s.table]
+        if s.kind == "insert":
+            names = list(s.columns) or [f.name for f in store.schema]
+            rows = self.sql(f"SELECT * FROM ({s.source})", *params)
+            if len(rows.columns) != len(names):
+                raise ValueError(f"{len(names)} columns, {len(rows.columns)} values")
+            rows = rows.toDF(*names)
+            changed = rows.count()
+            store.append(rows)
+        else:
+            hit = f"coalesce(({s.condition}), false)" if s.condition else "true"
+            n_set = sum(re.sub(r"'[^']*'", "", v).count("?") for v in s.values)
+            changed = self.fetch_count(f"SELECT 1 FROM {s.table} WHERE {hit}", *params[n_set:])
+            if changed:
+                # parameters keep their order: the assignments stand before the condition
+                values = {c: v for c, v in zip(s.columns, s.values, strict=True)}
+                listed = ", ".join(f"CASE WHEN _hit THEN ({values[f.name.lower()]}) ELSE {f.name} END AS {f.name}" if f.name.lower() in values else f.name for f in sorted(store.schema, key=lambda f: s.columns.index(f.name.lower()) if f.name.lower() in values else -1))
+                tail = "WHERE NOT _hit" if s.kind == "delete" else ""
+                store.write(self.sql(f"SELECT {listed} FROM (SELECT *, {hit} AS _hit FROM {s.table}) {tail}", *params))
+        self.refresh(s.table)
+        return changed
+
     # --- catalog
 
     def table_exists(self, table: str) -> bool:
@@ -82,6 +122,15 @@ class Database:
         """Column names, in lower case, and their types."""
         return {f.name.lower(): f.dataType.simpleString() for f in self.spark.table(table).schema}
 
+    def column_size(self, table: str, column: str) -> int | None:
+        """The length of a CHAR or VARCHAR column, the digits of a decimal one; None where a type has no size."""
+        field = next((f for f in self.spark.table(table).schema if f.name.lower() == column.lower()), None)
+        if field is None:
+            raise KeyError(f"no column {column} in {table}")
+        stated = field.metadata.get("__CHAR_VARCHAR_TYPE_STRING", field.dataType.simpleString())
+        inner = stated.partition("(")[2].rstrip(")")
+        return int(inner.split(",")[0]) if inner and stated.startswith(("char", "varchar", "decimal")) else None
+
     def primary_columns(self, table: str) -> list[str]:
         return self.primary_keys.get(table.lower(), [])
 
@@ -173,12 +222,52 @@ class Record:
         value = self.get(name)
         return value.date() if isinstance(value, datetime) else value
 
+    def get_datetime(self, name: str, zone: str | None = None) -> datetime | None:
+        """A date-time, moved into a zone where one is named; one without a zone is taken as UTC."""
+        value = self.get(name)
+        if value is None or zone is None:
+            return value
+        return (value if value.tzinfo else value.replace(tzinfo=timezone.utc)).astimezone(ZoneInfo(zone))
+
+    def get_datetime_ms(self, name: str) -> int:
+        """Epoch milliseconds, null as 0."""
+        value = self.get_datetime(name, "UTC")
+        return 0 if value is None else int(value.timestamp() * 1000)
+
+    def get_time_ms(self, name: str) -> int:
+        """Milliseconds since midnight, null as 0."""
+        value = self.get(name)
+        return 0 if value is None else ((value.hour * 60 + value.minute) * 60 + value.second) * 1000 + value.microsecond // 1000
+
+    def get_bytes(self, name: str) -> bytes | None:
+        value = self.get(name)
+        return None if value is None else bytes(value)
+
+    def set_date(self, name: str, value: int | date | None) -> Record:
+        """A date, or YYYYMMDD; 0 is null."""
+        if isinstance(value, int):
+            value = date(value // 10000, value // 100 % 100, value % 100) if value else None
+        return self.set(name, value)
+
+    def set_time(self, name: str, value: int | time | None) -> Record:
+        """A time, or HHMM; kept as text, for Spark tables have no type of their own for it."""
+        if isinstance(value, int):
+            value = time(value // 100, value % 100)
+        return self.set(name, None if value is None else value.isoformat())
+
+    def set_datetime(self, name: str, value: int | datetime | None) -> Record:
+        """A date-time, or epoch milliseconds; 0 is null."""
+        if isinstance(value, int):
+            value = datetime.fromtimestamp(value / 1000, timezone.utc).replace(tzinfo=None) if value else None
+        return self.set(name, value)
+
     @property
     def changed(self) -> dict[str, Any]:
         return {k: v for k, v in self._now.items() if k not in self._was or self._was[k] != v}
 
-    def to_json(self) -> dict:
-        return as_json(self._now)
+    def to_json(self, into: dict | None = None) -> dict:
+        """The row as JSON values, merged into ``into`` where that is given."""
+        return (into if into is not None else {}) | as_json(self._now)
 
     def copy_corresponding(self, other: Record) -> Record:
         """Take over columns that both have, with values of the same type."""

@@ -32,6 +32,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table in fewer pieces than there are cores, dealt out: for steps whose work on a row outweighs moving it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def database(spark: SparkSession, sf_dir: str, *tables: str) -> Database:
     """The named tables as views of the session, with their relations."""
     for name in tables or TABLES:

@@ -35,6 +35,9 @@ class Edge:
         return " AND ".join(f"{left}.{a} = {right}.{b}" for a, b in zip(self.from_columns, self.to_columns, strict=True))
 
 
+_CACHED: dict[tuple[str, str | None], RelationGraph] = {}
+
+
 class RelationGraph:
     """Tables and foreign keys; names are case-insensitive and kept in lower case, in order of declaration."""
 
@@ -110,6 +113,43 @@ class RelationGraph:
                 wanted.pop(table, None)
         return path
 
+    @classmethod
+    def from_jdbc(cls, spark, url: str, schema: str | None = None, properties: dict[str, str] | None = None, fresh: bool = False) -> RelationGraph:
+        """Tables and foreign keys of a database, read once for each address and schema from its driver's metadata.
+
+        Keys of several columns are put together by name, in the order of their columns.
+        """
+        if not fresh and (url, schema) in _CACHED:
+            return _CACHED[url, schema]
+        settings = spark._jvm.java.util.Properties()
+        for name, value in (properties or {}).items():
+            settings.setProperty(name, value)
+        connection = spark._jvm.java.sql.DriverManager.getConnection(url, settings)
+        try:
+            about = connection.getMetaData()
+            kinds = spark._sc._gateway.new_array(spark._jvm.String, 1)
+            kinds[0] = "TABLE"
+            found = about.getTables(None, schema, "%", kinds)
+            tables = []
+            while found.next():
+                tables.append((found.getString("TABLE_SCHEM"), found.getString("TABLE_NAME")))
+            graph = cls()
+            for _, table in tables:
+                graph.add_table(table)
+            for own_schema, table in tables:
+                keys: dict[tuple[str, str], list[tuple[int, str, str]]] = {}
+                columns = about.getImportedKeys(None, own_schema, table)
+                while columns.next():
+                    name = (columns.getString("PKTABLE_NAME"), columns.getString("FK_NAME") or "")
+                    keys.setdefault(name, []).append((columns.getInt("KEY_SEQ"), columns.getString("FKCOLUMN_NAME"), columns.getString("PKCOLUMN_NAME")))
+                for (far, _), parts in keys.items():
+                    parts.sort()
+                    graph.add_foreign_key(table, [p[1] for p in parts], far, [p[2] for p in parts])
+        finally:
+            connection.close()
+        _CACHED[url, schema] = graph
+        return graph
+
     def save(self, path: str) -> None:
         lines = [HEADER, *(f"TABLE {t}" for t in sorted(self._edges))]
         lines += [f"FK {e.from_table} {','.join(e.from_columns)} {e.to_table} {','.join(e.to_columns)}" for e in self.edges()]

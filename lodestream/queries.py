@@ -8,11 +8,13 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import dates, jsons, markup, numbers, strings
-from .operators import chunking, embedding, index, search
+from .functions import dates, jsons, markup, numbers, registry, strings
+from .operators import ann, chunking, embedding, index, search
 from .plans.builder import QueryBuilder
-from .plans.catalog import database, load, sample_graph
+from .plans.catalog import database, dealt, load, sample_graph
+from .session import dropped_at_exit, scratch_path
 from .sources import delimited, languages
+from .sources.store import SnapshotTable
 from .streaming import sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,15 +91,15 @@ _built("qb_autojoin_ambiguous", lambda q: q.select("nation.n_name").select_count
 _built("qb_autojoin_star", lambda q: q.select("part.p_brand", "supplier.s_name", "ROUND(SUM(lineitem.l_extendedprice), 2) AS total").where("orders.o_orderstatus = ?", "F").group_by("part.p_brand", "supplier.s_name"), "lineitem", "part", "supplier", "orders", sql="SELECT p_brand, s_name, round(sum(l_extendedprice), 2) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderstatus = 'F' GROUP BY p_brand, s_name")
 _built("qb_left", lambda q: q.select("customer.c_custkey", "orders.o_orderkey").left_join("orders").where("customer.c_nationkey = ?", 7), "customer", "orders", sql="SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 7")
 _built("qb_right", lambda q: q.select("orders.o_orderkey", "customer.c_custkey").right_join("customer"), "customer", "orders", sql="SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
-_built("qb_explicit_join", lambda q: q.select("supplier.s_name", "customer.c_name").join("supplier", "s_nationkey", "customer", "c_nationkey").where("supplier.s_suppkey = ?", 1), "supplier", "customer", sql="SELECT s_name, c_name FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_suppkey = 1")
-_built("qb_explicit_left", lambda q: q.select("customer.c_custkey", "supplier.s_suppkey").left_join("customer", "c_nationkey", "supplier", "s_nationkey").where("customer.c_custkey < ?", 50), "supplier", "customer", sql="SELECT c_custkey, s_suppkey FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey < 50")
+_built("qb_explicit_join", lambda q: q.select("orders.o_orderkey", "customer.c_name").join("orders", "o_custkey", "customer", "c_custkey"), "orders", "customer", sql="SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+_built("qb_explicit_left", lambda q: q.select("customer.c_custkey", "orders.o_orderkey").left_join("customer", "c_custkey", "orders", "o_custkey"), "customer", "orders", sql="SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 _built("qb_explicit_right", lambda q: q.select("part.p_partkey", "supplier.s_suppkey").right_join("part", "p_partkey", "supplier", "s_suppkey").where("supplier.s_suppkey > ?", 0), "supplier", "part", sql="SELECT p_partkey, s_suppkey FROM part RIGHT JOIN supplier ON p_partkey = s_suppkey WHERE s_suppkey > 0")
 _built("qb_self_join", lambda q: q.select("nation.n_name", "other.n_name AS neighbour").join("nation", "n_regionkey", "nation", "n_regionkey", "other").where("nation.n_nationkey < ?", 5), "nation", sql="SELECT a.n_name, b.n_name AS neighbour FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < 5")
 _built("qb_composite", lambda q: q.select("lineitem.l_orderkey", "again.l_quantity AS quantity").join("lineitem", ["l_orderkey", "l_linenumber"], "lineitem", ["l_orderkey", "l_linenumber"], "again").where("lineitem.l_tax < ?", 0.02), "lineitem", sql="SELECT a.l_orderkey, b.l_quantity AS quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_tax < 0.02")
 _built("qb_in", lambda q: q.select("customer.c_custkey").where_in("customer.c_custkey", _new().select("orders.o_custkey").where("orders.o_totalprice > ?", 300000.0)), "customer", "orders", sql="SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000.0)")
-_built("qb_not_in", lambda q: q.select("customer.c_custkey").where_not_in("customer.c_custkey", "SELECT o_custkey FROM orders WHERE o_totalprice > ?", 1000.0), "customer", "orders", sql="SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 1000.0)")
+_built("qb_not_in", lambda q: q.select("customer.c_custkey").where_not_in("customer.c_custkey", "SELECT o_custkey FROM orders WHERE o_totalprice > ?", 400000.0), "customer", "orders", sql="SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000.0)")
 _built("qb_exists", lambda q: q.select("customer.c_custkey").where_exists("SELECT 1 FROM orders o WHERE o.o_custkey = customer.c_custkey AND o.o_orderstatus = ?", "P"), "customer", "orders", sql="SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = customer.c_custkey AND o.o_orderstatus = 'P')")
-_built("qb_not_exists", lambda q: q.select("customer.c_custkey").where_not_exists("SELECT 1 FROM orders o WHERE o.o_custkey = customer.c_custkey"), "customer", "orders", sql="SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = customer.c_custkey)")
+_built("qb_not_exists", lambda q: q.select("customer.c_custkey").where_not_exists("SELECT 1 FROM orders o WHERE o.o_custkey = customer.c_custkey AND o.o_orderstatus = ?", "P"), "customer", "orders", sql="SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = customer.c_custkey AND o.o_orderstatus = 'P')")
 _built("qb_exists_builder", lambda q: q.select("nation.n_name").where_exists(_new().select("region.r_name").where("region.r_regionkey = ?", 1)), "nation", "region", sql="SELECT n_name FROM nation WHERE EXISTS (SELECT r_name FROM region WHERE r_regionkey = 1)")
 for _f in ("count", "sum", "avg", "min", "max"):
     _built(f"qb_{_f}", lambda q, f=_f: getattr(q.select("lineitem.l_returnflag"), f"select_{f}")("lineitem.l_quantity", "value").group_by("lineitem.l_returnflag"), "lineitem", sql=f"SELECT l_returnflag, {_f}(l_quantity) AS value FROM lineitem GROUP BY l_returnflag")
@@ -143,9 +145,22 @@ def list_repos(spark, sf_dir):
     return search.list_repos(_files(spark, sf_dir))
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM pages) AS chunks")
+_WINDOWS = """
+    WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text <> ''),
+    w AS (SELECT doc_id, x, unnest(range(0, CASE WHEN len(x) <= 60 THEN 1 ELSE CAST(ceil((len(x) - 60) / 50.0) AS BIGINT) + 1 END)) AS k FROM l),
+    c AS (SELECT doc_id, k, x, array_to_string(x[k * 50 + 1:k * 50 + 60], chr(10)) AS content FROM w)
+"""
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    made = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.line_windows(F.col("text"))).alias("chunk_no", "c"))
+    return made.select("doc_id", "chunk_no", "c.start_line", "c.end_line", "c.content")
+
+
+@query(_WINDOWS + "SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM c WHERE regexp_matches(content, '[^\\x00-\\x20]')) AS chunks, (SELECT TIMESTAMP '2024-01-01' + to_seconds(max(doc_id)) FROM documents) AS last_indexed_at")
 def index_status(spark, sf_dir):
-    return search.index_status(_files(spark, sf_dir), load(spark, sf_dir, "pages")).select("files", "chunks")
+    files = _files(spark, sf_dir).withColumn("indexed_at", F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.col("file_id")))
+    return search.index_status(files, _chunks(spark, sf_dir))
 
 
 @query("""
@@ -164,10 +179,19 @@ def sweep_actions(spark, sf_dir):
     return index.actions(old, new).select(F.col("path").cast("long").alias("doc_id"), "action")
 
 
-@query("SELECT source AS project, lang AS repo, CAST(count(*) AS BIGINT) AS n_files, 'drop' AS action FROM documents WHERE false GROUP BY ALL UNION ALL SELECT source, NULL, CAST(count(*) AS BIGINT), 'drop' FROM documents WHERE source = 'src1' GROUP BY source")
+@query("""
+    WITH stored AS (SELECT source AS project, lang AS repo, CAST(count(*) AS BIGINT) AS n_files FROM documents GROUP BY ALL)
+    SELECT 'drop' AS action, project, NULL AS repo, CAST(sum(n_files) AS BIGINT) AS n_files FROM stored WHERE project = 'src1' GROUP BY project
+    UNION ALL SELECT 'create', 'new', NULL, 0
+    UNION ALL SELECT 'delete_repo', project, repo, n_files FROM stored WHERE project = 'src2' AND repo = 'de'
+    UNION ALL SELECT 'add_repo', project, 'xx', 0 FROM stored WHERE project = 'src3' GROUP BY project
+""")
 def reconcile(spark, sf_dir):
+    """A project that is no longer configured, a new one, a repository that went away and one that came."""
     stored = load(spark, sf_dir, "documents").groupBy(F.col("source").alias("project"), F.col("lang").alias("repo")).agg(F.count("*").alias("n_files"))
-    return index.reconcile_plan(stored.filter("project <> 'src1'").select("project", "repo"), stored).select("project", "repo", "n_files", "action")
+    kept = stored.filter("project <> 'src1' and not (project = 'src2' and repo = 'de')").select("project", "repo")
+    configured = kept.union(spark.createDataFrame([("new", "a"), ("new", "b"), ("src3", "xx")], kept.schema))
+    return index.reconcile_plan(configured, stored).select("project", "repo", "n_files", "action")
 
 
 # --- chunks
@@ -187,7 +211,7 @@ def chunk_windows(spark, sf_dir):
 
 @query()
 def chunk_documents(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.lit("markdown").alias("language"))
+    docs = dealt(load(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("content"), F.lit("markdown").alias("language"))
     made = chunking.chunked(docs, "doc_id")
     return made.select("doc_id", "chunk_no", "start_line", "end_line", "symbol", F.sha2("content", 256).alias("content_sha"), "token_est")
 
@@ -199,7 +223,7 @@ def chunk_tokens(spark, sf_dir):
 
 @query()
 def embed_documents(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(load(spark, sf_dir, "documents")).select("doc_id", "text")
     vectors = embedding.embedded(docs, embedding.HashingEmbedder(64), text_col="text")
     return vectors.select("doc_id", F.sha2(embedding.literal(F.col("embedding")), 256).alias("vector_sha"))
 
@@ -287,10 +311,13 @@ def num_round(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.round_half_up(p, 1).alias("half_up"), numbers.round_up(p, 1).alias("up"), numbers.round_down(p, 1).alias("down"), numbers.floor(-F.col(p)).alias("low"))
 
 
-@query("SELECT o_orderkey, floor(o_totalprice) AS number, CAST(floor(o_totalprice) AS BIGINT) AS whole, 0 AS junk, true AS fine FROM orders")
+@query("SELECT o_orderkey, round(o_totalprice, 2) AS number, CAST(floor(o_totalprice) AS BIGINT) AS whole, 0 AS junk, true AS fine, false AS bad FROM orders")
 def num_parse(spark, sf_dir):
-    text = F.concat(F.format_number(F.floor("o_totalprice"), 0), F.lit(".0 USD"))
-    return load(spark, sf_dir, "orders").select("o_orderkey", numbers.parse_double(text).alias("number"), numbers.parse_long(text).alias("whole"), numbers.parse_int(F.lit("abc")).alias("junk"), numbers.is_number(F.format_number(F.floor("o_totalprice"), 0)).alias("fine"))
+    text = F.format_number(F.round("o_totalprice", 2), 2)
+    whole = F.format_number(F.floor("o_totalprice"), 0)
+    return load(spark, sf_dir, "orders").select(
+        "o_orderkey", numbers.parse_double(F.concat(text, F.lit(" USD"))).alias("number"), numbers.parse_long(F.concat(whole, F.lit(".0"))).alias("whole"), numbers.parse_int(F.lit("abc")).alias("junk"), numbers.is_number(text).alias("fine"), numbers.is_number(F.concat(text, F.lit("x"))).alias("bad")
+    )
 
 
 @query()
@@ -332,10 +359,141 @@ def delimited_lines(spark, sf_dir):
     return c.select("c_custkey", "c_mktsegment", delimited.no_zero(F.col("c_nationkey")).alias("nation"), delimited.line(delimited.field(F.col("c_name")), delimited.field(F.col("c_mktsegment"))).alias("line"))
 
 
-@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'java' WHEN 'de' THEN 'ini' WHEN 'fr' THEN 'dockerfile' END AS language FROM documents")
+#: Names of files by the last digit of an id, and what they are.
+_FILES = ("a/B.Java", ".env", "x/Dockerfile", "README", "Makefile", "b.tsx", "c.py", "d.", "e.unknown", "CMakeLists.txt")
+_KINDS = ("java", "ini", "dockerfile", None, "makefile", "typescript", "python", None, None, "text")
+
+
+def _by_digit(values: tuple) -> str:
+    return "CASE doc_id % 10 " + " ".join(f"WHEN {k} THEN " + ("NULL" if v is None else f"'{v}'") for k, v in enumerate(values)) + " END"
+
+
+@query(f"SELECT doc_id, {_by_digit(_KINDS)} AS language FROM documents")
 def languages_of(spark, sf_dir):
-    name = F.when(F.col("lang") == "en", "a/B.Java").when(F.col("lang") == "de", ".env").when(F.col("lang") == "fr", "x/Dockerfile").otherwise("README")
-    return load(spark, sf_dir, "documents").select("doc_id", languages.language(name).alias("language"))
+    return load(spark, sf_dir, "documents").select("doc_id", languages.language(F.expr(_by_digit(_FILES))).alias("language"))
+
+
+# --- what other modules offer: functions in SQL, JSON members, files, statements, search
+
+
+@query("""
+    SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y%m%d') AS INT) AS d, CAST(o_orderdate AS DATE) AS back, CAST(strftime(CAST(o_orderdate AS DATE) + INTERVAL 30 DAY, '%Y%m%d') AS INT) AS later,
+           rpad(left(o_orderstatus, 3), 3, ' ') AS status, sign(o_totalprice) * floor(abs(o_totalprice) * 10 + 0.5) / 10 AS price FROM orders
+""")
+def sql_functions(spark, sf_dir):
+    registry.register(spark)
+    text = "SELECT o_orderkey, date_number(CAST(o_orderdate AS DATE)) AS d, number_date(date_number(CAST(o_orderdate AS DATE))) AS back, add_days_number(date_number(CAST(o_orderdate AS DATE)), 30) AS later, take_left(o_orderstatus, 3) AS status, round_half_up(o_totalprice, 1) AS price FROM orders"
+    return database(spark, sf_dir, "orders").sql(text)
+
+
+@query("""
+    SELECT event_id, '{"k":' || (CAST(props->>'$.k' AS BIGINT) + 5) || '}' AS raised, '{"k":' || (props->>'$.k') || ',"n":1}' AS fresh, '{"k":[' || (props->>'$.k') || ',"x"]}' AS gathered,
+           '{"k":' || (props->>'$.k') || ',"tags":["x","y"]}' AS appended, true AS same, false AS other FROM events
+""")
+def json_counters(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    once = jsons.append("props", "tags", F.lit('"x"'))
+    return e.select(
+        "event_id", jsons.increment("props", "k", 5).alias("raised"), jsons.increment("props", "n").alias("fresh"), jsons.accumulate("props", "k", F.lit('"x"')).alias("gathered"),
+        jsons.append(once, "tags", F.lit('"y"')).alias("appended"), jsons.equal(F.col("props"), F.concat(F.lit(" "), F.col("props"))).alias("same"), jsons.equal(F.col("props"), jsons.increment("props", "k")).alias("other"),
+    )
+
+
+@query("SELECT c_custkey, c_name, round(c_acctbal, 2) AS balance, c_mktsegment || ', \"' || c_nationkey || '\"' AS odd, 0 AS missing FROM customer")
+def delimited_round_trip(spark, sf_dir):
+    """A table written as delimited text and read back: quotes, delimiters inside values, numbers from text, a column that is not there."""
+    path = scratch_path(spark, "delimited")
+    c = load(spark, sf_dir, "customer")
+    delimited.write_delimited(c.select("c_custkey", "c_name", F.round("c_acctbal", 2).cast("decimal(18,2)").alias("Balance"), F.concat("c_mktsegment", F.lit(', "'), "c_nationkey", F.lit('"')).alias("odd")), path)
+    dropped_at_exit(spark, path)
+    back = delimited.read_delimited(spark, path)
+    return back.select(delimited.as_int(back, "c_custkey").cast("long").alias("c_custkey"), "c_name", delimited.as_double(back, "balance").alias("balance"), "odd", delimited.as_int(back, "missing").alias("missing"))
+
+
+@query("SELECT c_custkey, c_name || ',\"' || upper(c_mktsegment) || '\"' AS raw, 2 AS n_fields, upper(c_mktsegment) AS segment FROM customer")
+def delimited_raw(spark, sf_dir):
+    path = scratch_path(spark, "delimited-raw")
+    c = load(spark, sf_dir, "customer")
+    c.select(delimited.line(delimited.field(F.col("c_name")), delimited.upper_quoted(F.col("c_mktsegment"))).alias("value")).write.text(path)
+    dropped_at_exit(spark, path)
+    return delimited.read_raw(spark, path, ["name", "segment"], expect=2).select(F.regexp_extract("name", "([0-9]+)$", 1).cast("long").alias("c_custkey"), "raw", "n_fields", "segment")
+
+
+@query("""
+    SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'O' THEN o_totalprice * 2 + 1 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus
+    FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT -o_orderkey, o_custkey, 0.0, 'copy' FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 0, 7, NULL, 'it''s?'
+""")
+def sql_statements(spark, sf_dir):
+    """UPDATE, DELETE and both forms of INSERT on a versioned copy of a table."""
+    db = database(spark, sf_dir, "orders")
+    path = scratch_path(spark, "statements")
+    store = SnapshotTable(spark, path, "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string", keys=["o_orderkey"])
+    store.write(load(spark, sf_dir, "orders"))
+    dropped_at_exit(spark, path)
+    db.attach("own_orders", store, ["o_orderkey"])
+    db.execute("UPDATE own_orders SET o_totalprice = o_totalprice * ? + 1, o_orderstatus = ? WHERE o_orderstatus = ?", 2, "open", "O")
+    db.execute("DELETE FROM own_orders WHERE o_orderstatus = ?", "P")
+    db.execute("INSERT INTO own_orders (o_orderkey, o_custkey, o_totalprice, o_orderstatus) SELECT -o_orderkey, o_custkey, 0.0D, 'copy' FROM orders WHERE o_orderstatus = ?", "F")
+    db.execute("INSERT INTO own_orders (o_orderkey, o_custkey, o_orderstatus) VALUES (?, ?, ?)", 0, 7, "it's?")
+    return store.read()
+
+
+@query("""
+    SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN 'second' ELSE 'first' END AS source
+    FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_custkey % 3 = 0 UNION ALL SELECT -1, 0.5, 'seed'
+""")
+def store_changes(spark, sf_dir):
+    """Upserts by key, deletes, and a seed in which existing rows win, over buckets of a versioned table."""
+    path = scratch_path(spark, "store")
+    table = SnapshotTable(spark, path, "c_custkey long, c_acctbal double, source string", keys=["c_custkey"], buckets=8)
+    c = load(spark, sf_dir, "customer")
+    table.write(c.withColumn("source", F.lit("first")))
+    dropped_at_exit(spark, path)
+    table.delete(c.filter("c_mktsegment = 'BUILDING'").select("c_custkey"))
+    table.upsert(c.filter("c_custkey % 3 = 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit("second").alias("source")), ["c_custkey"])
+    seed = c.filter("c_mktsegment <> 'BUILDING'").select("c_custkey", F.lit(0.0).alias("c_acctbal"), F.lit("seed").alias("source"))
+    table.seed(seed.union(spark.createDataFrame([(-1, 0.5, "seed")], table.schema)), ["c_custkey"])
+    return table.read()
+
+
+@query("""
+    SELECT c_custkey, 'a' || c_custkey AS v, CAST(2 AS INT) AS at FROM customer WHERE c_custkey % 2 = 0
+    UNION ALL SELECT c_custkey, 'b' || c_custkey, 3 FROM customer WHERE c_custkey % 2 = 1
+""")
+def stream_upserts(spark, sf_dir):
+    """Two runs of a stream into a table: of each key the latest row counts, and one that comes late and is older changes nothing."""
+    c = load(spark, sf_dir, "customer").select("c_custkey")
+    base = scratch_path(spark, "stream")
+    schema = "c_custkey long, v string, at int"
+    table = SnapshotTable(spark, f"{base}/table", schema, keys=["c_custkey"], buckets=8)
+    row = lambda mark, at: c.select("c_custkey", F.concat(F.lit(mark), "c_custkey").alias("v"), F.lit(at).alias("at"))
+    for batch in (row("a", 2).union(row("z", 1)), row("b", 3).filter("c_custkey % 2 = 1").union(row("y", 1))):
+        batch.write.mode("append").parquet(f"{base}/in")
+        sweep.upsert_stream(sweep.read_stream(spark, f"{base}/in", schema), table, ["c_custkey"], "at", f"{base}/checkpoint").awaitTermination()
+    dropped_at_exit(spark, base)
+    return table.read()
+
+
+@query(f"""
+    SELECT e.vec_id AS chunk_id, d.source AS repo, 'd' || d.doc_id || '.txt' AS path, floor({_SIM} * 1000 + 0.5) / 1000 AS score,
+           CASE WHEN length(d.text) > 300 THEN substr(d.text, 1, 300) || '...' ELSE d.text END AS snippet
+    FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 2) q WHERE d.lang = 'en' ORDER BY {_SIM} DESC, e.vec_id LIMIT 20
+""")
+def search_chunks(spark, sf_dir):
+    """The search tool: files filtered by language, their chunks compared, contents of the best alone looked up."""
+    texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    chunks = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("file_id"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(None).cast("string").alias("symbol"), "embedding").join(texts, "chunk_id")
+    hits = search.search(_files(spark, sf_dir), chunks, _query_vector(spark, sf_dir, 2), k=20, language="en")
+    return hits.select("chunk_id", "repo", "path", "score", "snippet")
+
+
+@query()
+def ann_topk(spark, sf_dir):
+    """Approximate search over lists; a test measures its recall."""
+    path = scratch_path(spark, "lists")
+    lists = ann.ListIndex.build(load(spark, sf_dir, "embeddings"), path, "vec_id")
+    dropped_at_exit(spark, path)
+    return lists.top_k(_query_vector(spark, sf_dir, 0), 8).select("vec_id", search.score(F.col("sim")).alias("score"))
 
 
 def queries() -> dict[str, Query]:

@@ -5,7 +5,9 @@ A host passes the project along with each request; there is no search across pro
 
 from __future__ import annotations
 
+import hmac
 import json
+import secrets
 from collections.abc import Callable
 from typing import Any
 
@@ -87,6 +89,18 @@ class Service:
     def _status(self, project: str, _: dict) -> dict:
         return as_json(self.catalog.index(project).status())
 
+    def authorized(self, path: str, headers: dict[str, str], tokens: dict[str, str] | None) -> str:
+        """The project that a request's path names (its last part), once the bearer token is that project's; no tokens means no check."""
+        project = path.split("?")[0].rstrip("/").rpartition("/")[2]
+        if project not in self.catalog.projects.names:
+            raise ToolError(f"unknown project: {project}")
+        if tokens is not None:
+            stated = {k.lower(): v for k, v in headers.items()}.get("authorization", "")
+            kind, _, token = stated.partition(" ")
+            if kind.lower() != "bearer" or not hmac.compare_digest(token.strip().encode(), tokens.get(project, secrets.token_hex()).encode()):
+                raise ToolError("unauthorized")
+        return project
+
     def handle(self, project: str, request: dict) -> dict | None:
         """Answer a JSON-RPC request; notifications have no answer, and a failing tool answers with an error result."""
         method, number = request.get("method", ""), request.get("id")

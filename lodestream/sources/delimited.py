@@ -57,6 +57,26 @@ def field(value: Column, delimiter: str = ",", quote: str = '"', limit: int | No
     return F.when(F.contains(text, F.lit(delimiter)) | F.contains(text, F.lit(quote)) | text.rlike("[\\r\\n]"), quoted).otherwise(text)
 
 
+def upper_quoted(value: Column, quote: str = '"') -> Column:
+    """A value in capitals, always quoted."""
+    text = F.upper(F.coalesce(F.trim(value.cast("string")), F.lit("")))
+    return F.concat(F.lit(quote), F.replace(text, F.lit(quote), F.lit(quote * 2)), F.lit(quote))
+
+
+def read_raw(spark: SparkSession, path: str, columns: list[str], delimiter: str = ",", quote: str = '"', expect: int | None = None) -> DataFrame:
+    """Rows that take one line each: ``raw``, the line as it stands, ``n_fields``, and the values by name.
+
+    With ``expect`` a row of another number of fields raises.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("raw")).filter(F.trim("raw") != "")
+    bare = F.regexp_replace("raw", f"{quote}(?:[^{quote}]|{quote}{quote})*+{quote}", "")
+    number = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    if expect is not None:
+        number = F.when(number == expect, number).otherwise(F.raise_error(F.concat(F.lit(f"not {expect} fields: "), F.col("raw"))).cast("int"))
+    parsed = F.from_csv("raw", F.lit(", ".join(f"`{c}` string" for c in columns)), {"sep": delimiter, "quote": quote, "escape": quote})
+    return lines.select("raw", number.alias("n_fields"), parsed.alias("v")).select("raw", "n_fields", *[F.coalesce(F.trim(F.col(f"v.`{c}`")), F.lit("")).alias(c) for c in columns])
+
+
 def no_zero(value: Column) -> Column:
     return F.when(value != 0, value.cast("string")).otherwise("")
 

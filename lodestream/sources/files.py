@@ -125,3 +125,25 @@ def scan(spark: SparkSession, listing: Listing, partition_bytes: int = 32 << 20)
     read = files.mapInArrow(load, "repo string, path string, language string, size_bytes long, mtime timestamp, bytes binary")
     text = F.when(~is_binary(F.col("bytes")), as_text(F.col("bytes")))
     return read.select("repo", "path", "language", "size_bytes", "mtime", F.sha2("bytes", 256).alias("sha256"), F.when(text.rlike(r"[^\x00-\x20]"), text).alias("content"))
+
+
+def write_text(spark: SparkSession, path: str, text: str, append: bool = False) -> None:
+    """Write one file, or add to it, on any file system that Spark reaches; where a system cannot append the file is written anew."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = read_text(spark, path) if append and fs.exists(where) else ""
+    stream = fs.create(where, True)
+    try:
+        stream.write(bytearray((before + text).encode()))
+    finally:
+        stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The whole text of one file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

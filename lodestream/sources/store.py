@@ -24,6 +24,8 @@ class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str, schema: StructType | str, keep: int = 3, keys: list[str] | None = None, buckets: int = 64):
         self.spark, self.path, self.keep, self.keys, self.buckets = spark, path.rstrip("/"), keep, keys, buckets if keys else 1
         self.schema = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+        #: Where tables change together: gives the version that counts, None for the newest.
+        self.pin: Callable[[], int | None] | None = None
 
     # --- files
 
@@ -44,6 +46,12 @@ class SnapshotTable:
         """The current version, 0 before the first."""
         return (self.versions() or [0])[-1]
 
+    @property
+    def current(self) -> int:
+        """The version that readers see and changes start from."""
+        pinned = self.pin() if self.pin else None
+        return self.version if pinned is None else pinned
+
     def _manifest(self, version: int) -> dict[int, list[str]]:
         """Of each bucket that has rows, its folders."""
         if not version:
@@ -73,7 +81,8 @@ class SnapshotTable:
 
     def _clean(self, newest: int) -> None:
         """Drop versions before the last ``keep``, and folders that only they name."""
-        old = [v for v in self.versions() if v <= newest - self.keep]
+        seen = self.current
+        old = [v for v in self.versions() if v <= newest - self.keep and v != seen]
         if not old:
             return
         used = {f.split("/")[0] for v in self.versions() if v not in old for folders in self._manifest(v).values() for f in folders}
@@ -96,13 +105,16 @@ class SnapshotTable:
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def read(self, version: int | None = None) -> DataFrame:
-        manifest = self._manifest(self.version if version is None else version)
+        manifest = self._manifest(self.current if version is None else version)
         return self._read(f for folders in manifest.values() for f in folders)
 
     def _store(self, rows: DataFrame) -> dict[int, list[str]]:
-        """Write rows by bucket into a new folder; returns the buckets that came of it."""
+        """Write rows by bucket into a new folder; returns the buckets that came of it.
+
+        Rows are brought together by bucket first, small buckets in one task and large ones in several, so files do not multiply.
+        """
         name = f"rows-{uuid.uuid4().hex}"
-        self._typed(rows).withColumn(_BUCKET, self.bucket_of(*(self.keys or []))).write.partitionBy(_BUCKET).parquet(f"{self.path}/{name}")
+        self._typed(rows).withColumn(_BUCKET, self.bucket_of(*(self.keys or []))).hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.path}/{name}")
         fs, where = self._fs(f"{self.path}/{name}")
         found = [s.getPath().getName() for s in fs.listStatus(where)]
         return {int(f.split("=")[1]): [f"{name}/{f}"] for f in found if f.startswith(f"{_BUCKET}=")}
@@ -118,7 +130,7 @@ class SnapshotTable:
     def append(self, rows: DataFrame) -> int:
         """Add rows without touching those that are there."""
         version = self.version
-        manifest, added = self._manifest(version), self._store(rows)
+        manifest, added = self._manifest(self.current), self._store(rows)
         joint = {b: manifest.get(b, []) + added.get(b, []) for b in manifest.keys() | added.keys()}
         long = [b for b, folders in joint.items() if len(folders) > MOST_PARTS]
         if long:
@@ -132,19 +144,27 @@ class SnapshotTable:
         to the driver.
         """
         version = self.version
-        manifest = self._manifest(version)
+        manifest = self._manifest(self.current)
         columns = gone.columns if gone is not None else (self.keys or [])
         touched = set(range(self.buckets))
         if self.keys and columns == self.keys:
-            parts = [df.select(self.bucket_of(*self.keys).alias("b")) for df in (gone, fresh) if df is not None]
-            numbers = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-            touched = {r["b"] for r in numbers.distinct().collect()}
+            touched = self._touched([df for df in (gone, fresh) if df is not None])
         rows = self._read(f for b, folders in manifest.items() if b in touched for f in folders)
         if gone is not None:
             rows = rows.join(gone.distinct(), columns, "left_anti")
         stored = self._store(self._typed(rows) if fresh is None else self._typed(rows).unionByName(self._typed(fresh)))
         return self._commit({b: f for b, f in manifest.items() if b not in touched} | stored, version)
 
+    def _touched(self, parts: list[DataFrame]) -> set[int]:
+        return {r["b"] for df in parts for r in df.select(self.bucket_of(*self.keys).alias("b")).distinct().collect()}
+
+    def near(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """The rows that can share a key with one of ``rows``: those of the same buckets where the table is dealt by these keys."""
+        if self.keys != keys:
+            return self.read()
+        touched = self._touched([rows])
+        return self._read(f for b, folders in self._manifest(self.current).items() if b in touched for f in folders)
+
     def upsert(self, rows: DataFrame, keys: list[str]) -> int:
         """Rows with a key of the table replace its rows, the others are added."""
         return self.merge(rows.select(*keys), rows)
