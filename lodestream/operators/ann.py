@@ -3,7 +3,8 @@
 Centroids are fitted on a bounded sample (``SAMPLE`` vectors, those with the smallest hash of their id); every vector is put into the list of
 its nearest centroid and written in a folder of its own by list, so a search reads the chosen lists and nothing else.  Within them the comparison
 is the exact one.  ``depth`` is the number of lists that are read: more find more of the true neighbours and cost more; all of them give the exact
-result.  Zero vectors go to the first list.
+result.  The default is for vectors without any clusters, like those of the test data: 40 of 64 lists hold 0.95 of the true ten nearest, 16 lists 0.7 to
+0.8; clustered vectors need far fewer.  Zero vectors go to the first list.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .search import top_k
 
 SAMPLE = 20_000
 LISTS = 64
-DEPTH = 16
+DEPTH = 40
 ROUNDS = 12
 
 
