@@ -94,6 +94,8 @@ _built("qb_right", lambda q: q.select("orders.o_orderkey", "customer.c_custkey")
 _built("qb_explicit_join", lambda q: q.select("orders.o_orderkey", "customer.c_name").join("orders", "o_custkey", "customer", "c_custkey"), "orders", "customer", sql="SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 _built("qb_explicit_left", lambda q: q.select("customer.c_custkey", "orders.o_orderkey").left_join("customer", "c_custkey", "orders", "o_custkey"), "customer", "orders", sql="SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 _built("qb_explicit_right", lambda q: q.select("part.p_partkey", "supplier.s_suppkey").right_join("part", "p_partkey", "supplier", "s_suppkey").where("supplier.s_suppkey > ?", 0), "supplier", "part", sql="SELECT p_partkey, s_suppkey FROM part RIGHT JOIN supplier ON p_partkey = s_suppkey WHERE s_suppkey > 0")
+_built("qb_left_alias", lambda q: q.select("nation.n_name", "other.n_name AS neighbour").left_join("nation", ["n_regionkey", "n_nationkey"], "nation", ["n_regionkey", "n_nationkey"], "other"), "nation", sql="SELECT a.n_name, b.n_name AS neighbour FROM nation a LEFT JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey = b.n_nationkey")
+_built("qb_right_alias", lambda q: q.select("customer.c_name", "home.n_name AS home").right_join("customer", "c_nationkey", "nation", "n_nationkey", "home"), "customer", "nation", sql="SELECT c_name, n_name AS home FROM customer RIGHT JOIN nation ON c_nationkey = n_nationkey")
 _built("qb_self_join", lambda q: q.select("nation.n_name", "other.n_name AS neighbour").join("nation", "n_regionkey", "nation", "n_regionkey", "other").where("nation.n_nationkey < ?", 5), "nation", sql="SELECT a.n_name, b.n_name AS neighbour FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < 5")
 _built("qb_composite", lambda q: q.select("lineitem.l_orderkey", "again.l_quantity AS quantity").join("lineitem", ["l_orderkey", "l_linenumber"], "lineitem", ["l_orderkey", "l_linenumber"], "again").where("lineitem.l_tax < ?", 0.02), "lineitem", sql="SELECT a.l_orderkey, b.l_quantity AS quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_tax < 0.02")
 _built("qb_in", lambda q: q.select("customer.c_custkey").where_in("customer.c_custkey", _new().select("orders.o_custkey").where("orders.o_totalprice > ?", 300000.0)), "customer", "orders", sql="SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000.0)")
@@ -342,12 +344,59 @@ def xml_and_json(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", to_json(xml).alias("as_json")).withColumn("back", to_xml(F.col("as_json")))
 
 
-@query("""SELECT page_id, CASE WHEN contains(html, 'lang="de"') THEN 'text/html' ELSE 'application/octet-stream' END AS mime FROM pages""")
+#: Names of files by the last digit of an id, and their media types.
+_PAGES = ("a/b.HTML", "a/b.", "x.tar.gz", "notes", "pic.JPeG", "a.woff2", "b.3gp", "csv", "d.xlsx", "e.mjs")
+_MIMES = ("text/html", markup.NO_MIME, "application/gzip", markup.NO_MIME, "image/jpeg", "font/woff2", "audio/3gpp", "text/csv", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "text/javascript")
+
+
+@query("SELECT page_id, CASE page_id % 10 " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(_MIMES)) + " END AS mime FROM pages")
 def str_mime(spark, sf_dir):
-    name = F.when(F.contains("html", F.lit('lang="de"')), F.lit("a/b.HTML")).otherwise(F.lit("a/b."))
+    name = F.expr("CASE page_id % 10 " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(_PAGES)) + " END")
     return load(spark, sf_dir, "pages").select("page_id", markup.mime_type(name).alias("mime"))
 
 
+@query("""
+    SELECT p_partkey, p_name || ' ' AS left_side, '  ' || p_name AS right_side, p_name AS both_sides, p_type[1] AS first, array_to_string(string_split(p_type, ' '), '-') AS joined,
+           CAST(len(string_split(p_type, ' ')) AS INT) AS parts, false AS empty, true AS none, printf('%05d|%s', p_size, p_brand) AS printed FROM part
+""")
+def str_strip_split(spark, sf_dir):
+    padded = F.concat(F.lit("  "), "p_name", F.lit(" "))
+    words = strings.split("p_type", " ")
+    return load(spark, sf_dir, "part").select(
+        "p_partkey", strings.left_strip(padded).alias("left_side"), strings.right_strip(padded).alias("right_side"), strings.strip(padded).alias("both_sides"), strings.first_char("p_type").alias("first"),
+        strings.join(words, "-").alias("joined"), F.size(words).alias("parts"), strings.is_empty("p_name").alias("empty"), strings.is_empty(F.lit("")).alias("none"), strings.printf("%05d|%s", "p_size", "p_brand").alias("printed"),
+    )
+
+
+@query("""
+    SELECT event_id, CAST(hour(ts) AS INT) AS h, CAST(minute(ts) AS INT) AS m, CAST(strftime(ts, '%Y%m%d') AS INT) AS d, CAST(strftime(ts, '%H%M') AS INT) AS t, CAST(strftime(ts, '%Y%m%d%H%M') AS BIGINT) AS again,
+           CAST(strftime(timezone('Asia/Tokyo', timezone('UTC', ts)), '%Y%m%d%H%M') AS BIGINT) AS tokyo, CAST(date_diff('minute', TIMESTAMP '2024-01-01', date_trunc('minute', ts)) AS BIGINT) AS since, strftime(ts, '%Y/%m/%d %H:%M') AS shown FROM events
+""")
+def datetime_parts(spark, sf_dir):
+    n = dates.number_of("ts")
+    return load(spark, sf_dir, "events").select(
+        "event_id", dates.hour(dates.time_of("ts")).alias("h"), dates.minutes(dates.time_of("ts")).alias("m"), dates.date_part(n).alias("d"), dates.time_part(n).alias("t"), dates.create(dates.date_part(n), dates.time_part(n)).alias("again"),
+        dates.in_zone(n, "UTC", "Asia/Tokyo").alias("tokyo"), dates.minutes_between(n, F.lit(202401010000), "UTC").alias("since"), dates.format_stamp(n, "yyyy/MM/dd HH:mm").alias("shown"),
+    )
+
+
+@query("SELECT c_custkey, '[{\"name\": \"' || c_name || '\", \"segment\": \"' || c_mktsegment || '\"}]' AS as_json FROM customer")
+def csv_and_json(spark, sf_dir):
+    csv = F.concat(F.lit("name,segment\n"), "c_name", F.lit(","), "c_mktsegment")
+    return load(spark, sf_dir, "customer").select("c_custkey", markup.on_batches(markup.csv_to_json)(csv).alias("as_json"))
+
+
+@query("SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"none\":null}' AS as_json FROM nation")
+def json_rows(spark, sf_dir):
+    n = load(spark, sf_dir, "nation").withColumn("none", F.lit(None).cast("string"))
+    return n.select("n_nationkey", jsons.row_json("n_nationkey", "n_name", "none").alias("as_json"))
+
+
+@query("SELECT event_id, CAST(abs(value - 10) < 5 AS BOOLEAN) AS close, value FROM events")
+def num_near(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", numbers.near(F.col("value"), F.lit(10.0), 5.0).alias("close"), "value")
+
+
 @query("SELECT event_type, window_start, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM events) GROUP BY ALL")
 def event_windows(spark, sf_dir):
     return sweep.events_by_window(load(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))

@@ -34,8 +34,8 @@ def get_spark(app: str = "lodestream", cores: int | None = None, shuffle_partiti
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor and the driver can reach.
 
-    ``spark.checkpoint.dir`` of the session wins.  Where it is unset a plain local session gets a temporary folder; any
-    other master falls back to the warehouse, which is shared by definition.
+    ``spark.checkpoint.dir`` of the session wins.  Where it is unset a plain local session gets a temporary folder; any other master falls
+    back to the warehouse, unless that is on a local disk, which is an error.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
@@ -45,7 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
     if master == "local" or master.startswith("local["):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestream-"))
         return context.getCheckpointDir().rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lodestream"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith("file:") or "://" not in warehouse:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share: the warehouse is a folder of one machine")
+    return warehouse + "/_lodestream"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
